@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ..operators import instants
+from ..operators import groups, instants, references
 from ..session import read
 
 
@@ -14,3 +17,37 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = instants.written_values(read(spark, sf_dir, "version", "seq", "equipo", "capture_ts"), "version", ["capture_ts"], equipo)
     more = instants.written_values(read(spark, sf_dir, "inscripcion", "seq", "equipo", "inferidor_ts", "ts"), "inscripcion", ["inferidor_ts", "ts"], equipo)
     return instants.normalise_instants(rows.unionByName(more))
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The groups of referents that are one document."""
+    links = groups.decided_links(read(spark, sf_dir, "referente_assert", "seq", "referente_a", "referente_b", "relacion"))
+    return groups.connected_groups(links).withColumnRenamed("miembro", "referente")
+
+
+# Which table each reference field points to.
+REFERENCES = (("afirmacion", "ref_id", "version"), ("afirmacion", "insc_id", "inscripcion"), ("consulta", "nec_id", "necesidad"), ("version", "q_id", "consulta"))
+
+
+def _references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = [references.reference_rows(read(spark, sf_dir, t, "seq", c, "ts"), t, c, to) for t, c, to in REFERENCES]
+    return reduce(DataFrame.unionByName, rows)
+
+
+def _reference_state(spark: SparkSession, sf_dir: str, refs: DataFrame) -> DataFrame:
+    targets = [to for _, _, to in REFERENCES]
+    stored = [references.existence_deltas(read(spark, sf_dir, to, "id", "seq"), to) for to in targets]
+    return references.merge_state(references.reference_deltas(refs), *stored, references.withdrawal_deltas(read(spark, sf_dir, "baja", "tabla", "id"), targets))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every stored reference whose target is missing, withdrawn or only arrived later."""
+    refs = _references(spark, sf_dir)
+    return references.classify_references(refs, _reference_state(spark, sf_dir, refs)).select("tabla", "campo", "seq", "periodo", "clase")
+
+
+def p5_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by table, field and month: rows and distinct ids of each class."""
+    refs = _references(spark, sf_dir)
+    rows = references.classify_references(refs, _reference_state(spark, sf_dir, refs))
+    return rows.groupBy("tabla", "campo", "periodo", "clase", "id").agg(F.count(F.lit(1)).alias("n")).groupBy("tabla", "campo", "periodo", "clase").agg(F.sum("n").alias("filas"), F.count(F.lit(1)).alias("ids"))
