@@ -10,13 +10,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.instants import to_utc_us
 from ..functions.text import py_strip
-from ..session import new_path, path_exists, shuffle_partitions
+from ..session import new_path, path_exists
 
 KEYS = ["raw", "zona", "orden"]
 _SCHEMA = "raw string, zona string, orden string, n long, utc_us long"
@@ -103,10 +104,8 @@ def normalise_instants(rows: DataFrame, dictionary: InstantDictionary | None = N
 
 def instant_column(raw: str, zona: str, orden: str):
     """The same reading as a column, for operators that need an instant per row and no dictionary."""
-    import pandas as pd
-    from pyspark.sql.functions import pandas_udf
 
-    @pandas_udf("long")
+    @F.pandas_udf("long")
     def read(raws: pd.Series, zonas: pd.Series, ordenes: pd.Series) -> pd.Series:
         return pd.Series([to_utc_us(r, z or None, o or None) for r, z, o in zip(raws, zonas, ordenes)], dtype="Int64")
 

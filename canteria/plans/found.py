@@ -7,7 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import groups, instants, references
+from ..functions.text import PENDING, canonical_url, is_blank, key_bytes, norm_hash, py_strip
+from ..operators import groups, history, instants, references
 from ..session import read
 
 
@@ -51,3 +52,24 @@ def p5_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     refs = _references(spark, sf_dir)
     rows = references.classify_references(refs, _reference_state(spark, sf_dir, refs))
     return rows.groupBy("tabla", "campo", "periodo", "clase", "id").agg(F.count(F.lit(1)).alias("n")).groupBy("tabla", "campo", "periodo", "clase").agg(F.sum("n").alias("filas"), F.count(F.lit(1)).alias("ids"))
+
+
+def _captures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(referente_id, content_hash, us, seq): the counting row of each version id, normalised; null content where there is none."""
+    equipo = instants.machines(read(spark, sf_dir, "equipo"))
+    rows = read(spark, sf_dir, "version", "id", "seq", "referente_id", "content_hash", "capture_ts", "equipo").join(equipo, "equipo", "left")
+    content = F.lower(norm_hash(F.col("content_hash")))
+    rows = rows.select(
+        F.coalesce(key_bytes(F.col("id")), F.concat(F.lit(b"\x02"), F.col("seq").cast("string").cast("binary"))).alias("clave"),
+        "seq",
+        F.when(~is_blank(F.col("referente_id")), canonical_url(F.col("referente_id"))).alias("referente_id"),
+        F.when(~is_blank(content) & (py_strip(F.col("content_hash")) != PENDING), content).alias("content_hash"),
+        instants.instant_column("capture_ts", "zona", "orden_fecha").alias("us"),
+    )
+    first = rows.groupBy("clave").agg(F.min_by(F.struct("referente_id", "content_hash", "us"), "seq").alias("v"), F.min("seq").alias("seq"))
+    return first.select("v.referente_id", "v.content_hash", "v.us", "seq")
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each referent's contents with the periods in which they held."""
+    return history.coalesce_history(_captures(spark, sf_dir), "referente_id", "content_hash", "us", "seq")
