@@ -89,29 +89,33 @@ def _quote(c: Column) -> Column:
     return F.replace(F.replace(F.url_encode(c), F.lit("%7E"), F.lit("~")), F.lit("*"), F.lit("%2A"))
 
 
-def canonical_url(url: Column) -> Column:
-    """Conservative canonical form of a URL, wholly inside the JVM.
+def _let(value: Column, body) -> Column:
+    """``body`` over a value computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
-    White space outside and line breaks inside go; the scheme becomes
-    ``https``; user info and fragment go; the host is lower-cased and a port
-    other than 0 stays; trailing slashes of the path go unless it is the root;
-    tracking parameters go and the rest is sorted by name and value.  Null
-    gives null; so does a port that is no number up to 65535.
-    """
-    s = F.regexp_replace(F.regexp_replace(py_strip(url), "^[\\x00-\\x20]+", ""), "[\\t\\r\\n]", "")
-    # scheme ":" "//" authority path "?" query "#" fragment
-    parts = "^(?:[A-Za-z][A-Za-z0-9+.\\-]*:)?(?://([^/?#]*))?([^?#]*)(?:\\?([^#]*))?(?:#[\\s\\S]*)?$"
-    authority, path, query = (F.regexp_extract(s, parts, i) for i in (1, 2, 3))
-    host_port = F.regexp_extract(authority, "^(?:[\\s\\S]*@)?([\\s\\S]*)$", 1)
-    bracketed = "^\\[([^\\]]*)\\](?::([\\s\\S]*))?$"
-    is_v6 = F.startswith(host_port, F.lit("["))
-    host = F.lower(F.when(is_v6, F.regexp_extract(host_port, bracketed, 1)).otherwise(F.substring_index(host_port, ":", 1)))
-    port = F.when(is_v6, F.regexp_extract(host_port, bracketed, 2)).otherwise(F.regexp_extract(host_port, "^[^:]*:([\\s\\S]*)$", 1))
-    number = F.when(port.rlike("^[0-9]{1,9}$"), port).cast("int")
-    bad_port = (port != "") & F.coalesce(number > 65535, F.lit(True))
-    netloc = F.when((port == "") | (number == 0), host).otherwise(F.concat_ws(":", host, number.cast("string")))
-    bare = F.when(F.length(path) > 1, F.regexp_replace(path, "/+$", "")).otherwise(path)
-    bare = F.when(bare == "", F.lit("/")).otherwise(bare)
+
+# scheme ":" "//" authority path "?" query "#" fragment
+_PARTS = "^(?:[A-Za-z][A-Za-z0-9+.\\-]*:)?(?://([^/?#]*))?([^?#]*)(?:\\?([^#]*))?(?:#[\\s\\S]*)?$"
+_BRACKETED = "^\\[([^\\]]*)\\](?::([\\s\\S]*))?$"
+#: A URL that is its own canonical form: no query, lower-case host, no slash at the end.
+_CANONICAL = "^https://[a-z0-9.\\-]+(?::[1-9][0-9]{0,3})?/(?:[!-~&&[^?#]]*[!-~&&[^?#/]])?$"
+
+
+def _netloc(authority: Column) -> Column:
+    """Host in lower case with a port other than 0; null for a port that is no number up to 65535."""
+
+    def of(host_port: Column) -> Column:
+        is_v6 = F.startswith(host_port, F.lit("["))
+        host = F.lower(F.when(is_v6, F.regexp_extract(host_port, _BRACKETED, 1)).otherwise(F.substring_index(host_port, ":", 1)))
+        port = F.when(is_v6, F.regexp_extract(host_port, _BRACKETED, 2)).otherwise(F.regexp_extract(host_port, "^[^:]*:([\\s\\S]*)$", 1))
+        number = F.when(port.rlike("^[0-9]{1,9}$"), port).cast("int")
+        return F.when((port == "") | (number == 0), host).when(number <= 65535, F.concat_ws(":", host, number.cast("string")))
+
+    return _let(F.regexp_extract(authority, "^(?:[\\s\\S]*@)?([\\s\\S]*)$", 1), of)
+
+
+def _query(query: Column) -> Column:
+    """Parameters without the tracking ones, sorted by name and value."""
     pairs = F.transform(
         F.filter(F.split(query, "&"), lambda p: p != ""),
         lambda p: F.struct(
@@ -120,9 +124,25 @@ def canonical_url(url: Column) -> Column:
         ),
     )
     kept = F.array_sort(F.filter(pairs, lambda p: ~_is_tracking(p["k"])))
-    tail = F.array_join(F.transform(kept, lambda p: F.concat(_quote(p["k"]), F.lit("="), _quote(p["v"]))), "&")
-    base = F.when(netloc == "", F.concat(F.lit("https:"), F.when(F.startswith(bare, F.lit("//")), F.concat(F.lit("//"), bare)).otherwise(bare))).otherwise(
-        F.concat(F.lit("https://"), netloc, F.when(F.startswith(bare, F.lit("/")), bare).otherwise(F.concat(F.lit("/"), bare)))
-    )
-    full = F.when(query == "", base).otherwise(F.when(tail == "", base).otherwise(F.concat_ws("?", base, tail)))
-    return F.when(url.isNull() | bad_port, F.lit(None).cast("string")).otherwise(full)
+    return F.array_join(F.transform(kept, lambda p: F.concat(_quote(p["k"]), F.lit("="), _quote(p["v"]))), "&")
+
+
+def _assemble(p: Column) -> Column:
+    path, netloc, tail = p["path"], p["netloc"], p["tail"]
+    bare = F.when(F.regexp_replace(path, "/+$", "") == "", F.lit("/")).otherwise(F.regexp_replace(path, "/+$", ""))
+    base = F.when(netloc == "", F.concat(F.lit("https:"), bare)).otherwise(F.concat(F.lit("https://"), netloc, F.when(F.startswith(bare, F.lit("/")), F.lit("")).otherwise(F.lit("/")), bare))
+    return F.when(tail == "", base).otherwise(F.concat(base, F.lit("?"), tail))
+
+
+def canonical_url(url: Column) -> Column:
+    """Conservative canonical form of a URL, wholly inside the JVM.
+
+    White space outside and line breaks inside go; the scheme becomes
+    ``https``; user info and fragment go; the host is lower-cased and a port
+    other than 0 stays; trailing slashes of the path go unless it is the root;
+    tracking parameters go and the rest is sorted by name and value.  Null
+    gives null; so does a port that is no number up to 65535.
+    """
+    cleaned = F.regexp_replace(F.regexp_replace(py_strip(url), "^[\\x00-\\x20]+", ""), "[\\t\\r\\n]", "")
+    parts = _let(cleaned, lambda s: F.struct(_netloc(F.regexp_extract(s, _PARTS, 1)).alias("netloc"), F.regexp_extract(s, _PARTS, 2).alias("path"), _query(F.regexp_extract(s, _PARTS, 3)).alias("tail")))
+    return F.when(url.rlike(_CANONICAL), url).otherwise(_let(parts, _assemble))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import PENDING, canonical_url, is_blank, key_bytes, norm_hash, py_strip
-from ..operators import groups, history, instants, references
+from ..operators import flatten, groups, history, instants, references
 from ..session import read
 
 
@@ -73,3 +73,16 @@ def _captures(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each referent's contents with the periods in which they held."""
     return history.coalesce_history(_captures(spark, sf_dir), "referente_id", "content_hash", "us", "seq")
+
+
+# The arrays of the three JSON columns.
+JSON_LEVELS = (
+    ("inscripcion", "busqueda", flatten.Level("busqueda")),
+    ("inscripcion", "resultados_crudos", flatten.Level("resultado", "fuente", {"citas": flatten.Level("cita", "txt", {"notas": flatten.Level("nota")})})),
+    ("grano", "consultas", flatten.Level("consulta", "formulacion", {"referencias": flatten.Level("referencia", "url", {"intentos": flatten.Level("intento", "estado")})})),
+)
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nested JSON of three columns as flat rows."""
+    return reduce(DataFrame.unionByName, [flatten.flatten_json(read(spark, sf_dir, t, "seq", c), c, level) for t, c, level in JSON_LEVELS])
