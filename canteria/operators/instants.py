@@ -14,6 +14,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.instants import to_utc_us
 from ..functions.text import py_strip
@@ -105,7 +106,7 @@ def normalise_instants(rows: DataFrame, dictionary: InstantDictionary | None = N
 def instant_column(raw: str, zona: str, orden: str):
     """The same reading as a column, for operators that need an instant per row and no dictionary."""
 
-    @F.pandas_udf("long")
+    @F.pandas_udf(T.LongType())
     def read(raws: pd.Series, zonas: pd.Series, ordenes: pd.Series) -> pd.Series:
         return pd.Series([to_utc_us(r, z or None, o or None) for r, z, o in zip(raws, zonas, ordenes)], dtype="Int64")
 

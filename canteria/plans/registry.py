@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import found
+from . import found, provenance, sql
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: getattr(found, name) for name in dir(found) if name[0] == "p" and name[1].isdigit()}
+    """The queries of problems 1 to 5 and those of the provenance store."""
+    problems = {name: getattr(found, name) for name in dir(found) if re.match(r"p\d_", name)}
+    return problems | {f.__name__: f for f in provenance.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(sql.ORACLES)
