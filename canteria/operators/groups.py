@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import canonical_url, is_blank, py_strip
-from ..session import materialize, release
+from ..session import materialize, materialize_with, release
 from .skew import salted_lookup
 
 # The spellings that join two referents and those that part them.
@@ -49,16 +49,21 @@ def _hook(edges: DataFrame) -> DataFrame:
     return picked.join(mutual.select("c", F.lit(True).alias("root")), "c", "left").select("c", F.when(F.col("root"), F.col("c")).otherwise(F.col("p")).alias("p"))
 
 
+def _jump(pointers: DataFrame, n: int) -> DataFrame:
+    """Every pointer led one further along: to where the component it points at points."""
+    return salted_lookup(pointers, pointers.select(F.col("c").alias("p"), F.col("p").alias("g")), ["p"], n).select("c", F.col("g").alias("p"), (F.col("g") != F.col("p")).alias("moved"))
+
+
 def _collapse(pointers: DataFrame, n: int) -> tuple[DataFrame, str]:
-    """Pointer doubling until every component points at its root."""
+    """Pointer doubling until every component points at its root; two doublings to a stored table."""
     spark = pointers.sparkSession
     now, path = materialize(pointers, "hook")
     while True:
-        step = salted_lookup(now, now.select(F.col("c").alias("p"), F.col("p").alias("g")), ["p"], n).select("c", F.col("g").alias("p"), (F.col("g") != F.col("p")).alias("moved"))
-        nxt, new = materialize(step, "jump")
+        twice = _jump(_jump(now, n).select("c", "p"), n)
+        nxt, new, seen = materialize_with(twice, "jump", moved=F.count_if("moved"))
         release(spark, path)
         now, path = nxt.select("c", "p"), new
-        if nxt.where("moved").isEmpty():
+        if not seen["moved"]:
             return now, path
 
 
@@ -70,10 +75,11 @@ def connected_groups(links: DataFrame) -> DataFrame:
     no rows.
     """
     spark = links.sparkSession
-    links, links_path = materialize(links.select("a", "b").where(F.col("a") != F.col("b")).distinct(), "links")
+    rows = F.count(F.lit(1))
+    links, links_path, seen = materialize_with(links.select("a", "b").where(F.col("a") != F.col("b")).distinct(), "links", n=rows)
+    n = seen["n"]
     names = links.select(F.explode(F.array("a", "b")).alias("nombre")).distinct().orderBy("nombre")
     names, _ = materialize(names.select("nombre", F.monotonically_increasing_id().alias("id")), "names")
-    n = links.count()
     numbered = salted_lookup(links, names.select(F.col("nombre").alias("a"), F.col("id").alias("x")), ["a"], n)
     numbered = salted_lookup(numbered, names.select(F.col("nombre").alias("b"), F.col("id").alias("y")), ["b"], n)
     edges, path = materialize(numbered.select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).distinct(), "edges")
@@ -85,9 +91,9 @@ def connected_groups(links: DataFrame) -> DataFrame:
         moved = salted_lookup(edges, pointers.select(F.col("c").alias("u"), F.col("p").alias("pu")), ["u"], n)
         moved = salted_lookup(moved, pointers.select(F.col("c").alias("v"), F.col("p").alias("pv")), ["v"], n)
         rest = moved.where(F.col("pu") != F.col("pv")).select(F.least("pu", "pv").alias("u"), F.greatest("pu", "pv").alias("v")).distinct()
-        edges, new = materialize(rest, "edges")
+        edges, new, seen = materialize_with(rest, "edges", n=rows)
         release(spark, path)
-        path, n = new, edges.count()
+        path, n = new, seen["n"]
     if not levels:
         return names.select(F.col("nombre").alias("grupo"), F.col("nombre").alias("miembro")).limit(0)
     roots, size, _ = levels.pop()

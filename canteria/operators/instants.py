@@ -75,12 +75,12 @@ class InstantDictionary:
         ``counted``: the dictionary's counts are those of ``rows`` (true of the
         first batch), which saves counting them again.
         """
-        hot = self._hot(rows, counted).withColumn("hot", F.lit(True))
-        salt = F.when(F.col("hot"), F.pmod(F.xxhash64(*[c for c in rows.columns if c not in KEYS]), F.lit(SALTS))).otherwise(F.lit(0)).cast("int")
-        left = rows.join(F.broadcast(hot), KEYS, "left").withColumn("salt", salt).drop("hot")
+        hot = self._hot(rows, counted).withColumn("_hot", F.lit(True))
+        salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(*[c for c in rows.columns if c not in KEYS]), F.lit(SALTS))).otherwise(F.lit(0)).cast("int")
+        left = rows.join(F.broadcast(hot), KEYS, "left").withColumn("_salt", salt).drop("_hot")
         right = self.read().where(F.col("utc_us").isNotNull()).drop("n").join(F.broadcast(hot), KEYS, "left")
-        right = right.withColumn("salt", F.explode(F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))))).drop("hot")
-        return left.join(right, [*KEYS, "salt"]).drop("salt")
+        right = right.withColumn("_salt", F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))))).drop("_hot")
+        return left.join(right, [*KEYS, "_salt"]).drop("_salt")
 
 
 def written_values(df: DataFrame, tabla: str, fields: list[str], equipo: DataFrame) -> DataFrame:

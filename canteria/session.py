@@ -13,8 +13,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 _LOCAL_DIRS: dict[str, str] = {}
 
@@ -47,10 +46,22 @@ def new_path(spark: SparkSession, tag: str) -> str:
 
 def materialize(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
     """Write ``df`` once and return the table read back, with its path."""
+    table, path, _ = materialize_with(df, tag)
+    return table, path
+
+
+def materialize_with(df: DataFrame, tag: str, **metrics: Column) -> tuple[DataFrame, str, dict[str, int]]:
+    """The same, with aggregates observed by the job that writes.
+
+    A task that runs twice may count twice, so a metric says whether there is
+    anything, and about how much, and never enters a result.
+    """
     spark = df.sparkSession
     path = new_path(spark, tag)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path), path
+    seen = Observation() if metrics else None
+    watched = df.observe(seen, *[c.alias(k) for k, c in metrics.items()]) if seen else df
+    watched.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path, dict(seen.get) if seen else {}
 
 
 def release(spark: SparkSession, *paths: str) -> None:
@@ -75,7 +86,3 @@ def read(spark: SparkSession, sf_dir: str, table: str, *columns: str) -> DataFra
     """One table of a data folder, reduced to the columns a query needs."""
     df = spark.read.parquet(f"{sf_dir}/{table}.parquet")
     return df.select(*columns) if columns else df
-
-
-def hash_of(*columns: Column | str) -> Column:
-    return F.xxhash64(*columns)
