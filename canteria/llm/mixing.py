@@ -84,7 +84,7 @@ def draw_counts(quota: dict[str, int], shard_blocks: int, seed: int) -> np.ndarr
     """
     left = np.array(list(quota.values()), np.int64)
     rng, rows = np.random.default_rng(seed), []
-    while left.sum():
+    while len(left) and left.sum():
         size, row = min(shard_blocks, int(left.sum())), np.zeros(len(left), np.int64)
         while size:
             p = left / left.sum()
@@ -93,7 +93,7 @@ def draw_counts(quota: dict[str, int], shard_blocks: int, seed: int) -> np.ndarr
             left -= got
             size -= int(got.sum())
         rows.append(row)
-    return np.array(rows, np.int64).reshape(-1, len(quota))
+    return np.array(rows, np.int64).reshape(len(rows), len(quota))
 
 
 def _local_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

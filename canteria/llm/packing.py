@@ -12,7 +12,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -81,25 +81,22 @@ def assign(lengths: np.ndarray, capacity: int) -> np.ndarray:
     return out
 
 
-def pack_shard(doc_id: np.ndarray, tokens: np.ndarray, capacity: int) -> pd.DataFrame:
-    """(contenedor, doc_id, parte, inicio, tokens) of one shard; contenedor counts from 0, -1 for a text without tokens."""
+def pack_shard(tokens: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(container, text, part, start, size) of every piece of one shard's texts; containers count from 0, -1 for a text without tokens."""
     full = np.where(tokens > capacity, tokens // capacity, 0)
     rest = tokens - full * capacity
-    whole_doc = np.repeat(np.arange(len(tokens)), full)
-    part = np.arange(len(whole_doc)) - np.repeat(np.cumsum(full) - full, full)
-    item = np.flatnonzero(rest > 0)
+    whole = np.repeat(np.arange(len(tokens)), full)
+    part = np.arange(len(whole)) - np.repeat(np.cumsum(full) - full, full)
+    item, none = np.flatnonzero(rest > 0), np.flatnonzero(tokens == 0)
     box = assign(rest[item], capacity) if len(item) else np.zeros(0, np.int64)
     used = int(box.max()) + 1 if len(box) else 0
-    none = np.flatnonzero(tokens == 0)
-    at = np.concatenate([whole_doc, item, none])
-    return pd.DataFrame(
-        {
-            "contenedor": np.concatenate([used + np.arange(len(whole_doc)), box, np.full(len(none), -1)]),
-            "doc_id": doc_id[at],
-            "parte": np.concatenate([part, full[item], np.zeros(len(none), np.int64)]).astype(np.int32),
-            "inicio": np.concatenate([part * capacity, full[item] * capacity, np.zeros(len(none), np.int64)]),
-            "tokens": np.concatenate([np.full(len(whole_doc), capacity), rest[item], np.zeros(len(none), np.int64)]),
-        }
+    zeros = np.zeros(len(none), np.int64)
+    return (
+        np.concatenate([used + np.arange(len(whole)), box, zeros - 1]),
+        np.concatenate([whole, item, none]),
+        np.concatenate([part, full[item], zeros]),
+        np.concatenate([part * capacity, full[item] * capacity, zeros]),
+        np.concatenate([np.full(len(whole), capacity), rest[item], zeros]),
     )
 
 
@@ -107,28 +104,31 @@ def pack(lengths: DataFrame, containers: list[tuple[str, int]], shard_docs: int
     """(envase, contenedor, doc_id, parte, inicio, tokens): every text in containers of every kind.
 
     ``lengths`` has doc_id and tokens, one row per text (a repeated row is one
-    more text).  A text longer than the capacity is cut into full containers
-    and a rest, its pieces numbered by ``parte`` and starting at token
-    ``inicio``; no other text is split.  A text without tokens needs none: its
-    contenedor is null.  Kinds without a positive capacity are left out.
-    ``lengths`` is read twice, so it should be a stored table.
+    more text, a null doc_id is kept).  A text longer than the capacity is cut
+    into full containers and a rest, its pieces numbered by ``parte`` and
+    starting at token ``inicio``; no other text is split.  A text without
+    tokens needs none: its contenedor is null.  Kinds without a positive
+    capacity are left out.  ``lengths`` is read twice, so it should be a
+    stored table.
     """
     kinds = [(name, int(c)) for name, c in containers if name is not None and c is not None and c > 0]
     shards = max(1, math.ceil(lengths.count() / shard_docs))
 
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("doc_id", kind="stable")
-        parts = []
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("doc_id", "ascending"), ("tokens", "ascending")]).combine_chunks()
+        lote, tokens, parts = table["lote"][0].as_py(), table["tokens"].to_numpy(), []
         for name, capacity in kinds:
-            part = pack_shard(pdf["doc_id"].to_numpy(), pdf["tokens"].to_numpy(), capacity)
-            box = part["contenedor"]
-            part["contenedor"] = (box * shards + key[0]).where(box >= 0).astype("Int64")
-            part.insert(0, "envase", name)
-            parts.append(part)
-        return pd.concat(parts) if parts else pd.DataFrame({"envase": [], "contenedor": [], "doc_id": [], "parte": [], "inicio": [], "tokens": []})
-
-    sharded = lengths.select(F.pmod(F.xxhash64("doc_id"), F.lit(shards)).alias("lote"), "doc_id", "tokens")
-    return sharded.groupBy("lote").applyInPandas(run, "envase string, contenedor long, doc_id long, parte int, inicio long, tokens long")
+            box, text, part, start, size = pack_shard(tokens, capacity)
+            number = pa.array(box * shards + lote, mask=box < 0)
+            columns = [pa.array([name] * len(box), pa.string()), number, table["doc_id"].take(pa.array(text)).combine_chunks(), pa.array(part.astype(np.int32)), pa.array(start), pa.array(size)]
+            parts.append(pa.Table.from_arrays(columns, names=["envase", "contenedor", "doc_id", "parte", "inicio", "tokens"]))
+        return pa.concat_tables(parts) if parts else _NOTHING
+
+    sharded = lengths.select(F.pmod(F.xxhash64("doc_id", "tokens"), F.lit(shards)).alias("lote"), "doc_id", "tokens")
+    return sharded.groupBy("lote").applyInArrow(run, "envase string, contenedor long, doc_id long, parte int, inicio long, tokens long")
+
+
+_NOTHING = pa.schema([("envase", pa.string()), ("contenedor", pa.int64()), ("doc_id", pa.int64()), ("parte", pa.int32()), ("inicio", pa.int64()), ("tokens", pa.int64())]).empty_table()
 
 
 def packing_report(packed: DataFrame, containers: list[tuple[str, int]]) -> DataFrame:

@@ -400,7 +400,7 @@ def train(documents: int = 8000, epochs: int = 6, seed: int = 11) -> BoundaryMod
 
 
 _BLANK_LINE = re.compile(r"\n[^\S\n]*(?:\n[^\S\n]*)+")
-_ITEM = re.compile(r"^[^\S\n]*(?:([-*•‣◦–])|(\d{1,4})[.)])[^\S\n]+(?=\S)", re.M)
+_ITEM = re.compile(r"^[^\S\n]*(?:([-*•‣◦])|(\d{1,4})[.)])[^\S\n]+(?=\S)", re.M)
 
 
 def split_blocks(text: str) -> Iterator[tuple[int, int, bool]]:

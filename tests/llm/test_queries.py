@@ -1,0 +1,31 @@
+import subprocess
+import sys
+
+import pytest
+
+import __spark_entry__
+from canteria.llm import queries, tokens
+
+QUERIES = queries.queries()
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES))
+def test_query(spark, data, name):
+    assert QUERIES[name](spark, data).count() > 0
+
+
+def test_entry_has_them():
+    assert set(QUERIES) <= set(__spark_entry__.queries())
+
+
+def test_token_counts():
+    enc = tokens.encoding(tokens.TOKENIZER_DIR, tokens.VOCABULARY)
+    assert tokens.count(None, enc) == tokens.count("", enc) == 0
+    assert tokens.count("hola mundo", enc) == len(enc.encode_ordinary("hola mundo")) > 1
+    assert enc.decode(enc.encode_ordinary("Ñandú 你好 😀")) == "Ñandú 你好 😀"
+    assert tokens.count("x" * 100_000, enc) > 1000
+
+
+def test_nothing_else_imports_this_package():
+    code = "import sys; import canteria.plans.registry, canteria.cli, canteria.streaming.log_stream; sys.exit(any(m.startswith('canteria.llm') for m in sys.modules))"
+    assert subprocess.run([sys.executable, "-c", code], check=False).returncode == 0
