@@ -11,8 +11,7 @@ import tempfile
 from pyspark.sql import SparkSession
 
 from .functions import document
-from .operators.claims import orphans
-from .plans.projection import rebuild, write_projection
+from .plans.projection import rebuild
 from .sources import emission, fetching, grains, sinks
 from .sources.store import EventStore, log_path
 
@@ -27,20 +26,17 @@ def _load(path: str) -> object:
 
 
 def ingest(a: argparse.Namespace) -> int:
-    store, doc = EventStore(a.store), _load(a.yaml)
+    store = EventStore(a.store)
     if a.lint_only:
+        doc = _load(a.yaml)
         found = [f"{r}: {t}" for r, t, h in document.lint(doc) if h is None or not h or not store.has_snapshot(h)]
         print("\n".join(found) or "lint ok")
         return int(bool(found))
     try:
-        done = grains.ingest_document(doc, store)
+        done = grains.ingest_file(a.yaml, store, _spark() if a.db else None, a.db)
     except grains.LintError as e:
         print("refused:", e)
         return 1
-    if a.db:
-        tables = rebuild(store.log(_spark()))
-        write_projection(tables, a.db)
-        done["huerfanos"] = orphans(tables["afirmacion"]).count()
     print(json.dumps(done, ensure_ascii=False))
     return 0
 

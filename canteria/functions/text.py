@@ -47,6 +47,17 @@ def gatillo_ok(c: Column) -> Column:
     return F.coalesce(reduce(lambda a, b: a | b, [F.startswith(c, F.lit(t)) for t in TRIGGERS]), F.lit(False))
 
 
+def triplet_ok(premisa: Column, busqueda: Column, crudos: Column) -> Column:
+    """A premise that is not blank and two JSON arrays that are not empty; never null."""
+    filled = [F.coalesce(F.json_array_length(c) > 0, F.lit(False)) for c in (busqueda, crudos)]
+    return ~is_blank(premisa) & filled[0] & filled[1]
+
+
+def signature(model: Column, ts: Column) -> Column:
+    """model@ts, a null written ``None``."""
+    return F.concat(F.coalesce(model, F.lit("None")), F.lit("@"), F.coalesce(ts, F.lit("None")))
+
+
 def unit_join(*parts: Column) -> Column:
     """Parts joined by U+001F; a null part keeps its place as ''."""
     return F.concat_ws(UNIT_SEPARATOR, *[F.coalesce(p.cast("string"), F.lit("")) for p in parts])

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import SPACE_CLASS, is_pending
+from ..functions.text import SPACE_CLASS, is_pending, signature
 
 UNSAFE_STATUS = "afirmado"
 
@@ -64,8 +64,7 @@ def trace_up(claims: DataFrame, inferences: DataFrame, versions: DataFrame, quer
     Left joins all the way; a missing step leaves its columns null.  A null
     model or time is written ``None`` in the signature.
     """
-    signature = F.concat(F.coalesce("inferidor_model", F.lit("None")), F.lit("@"), F.coalesce("inferidor_ts", F.lit("None")))
-    i = inferences.select(F.col("id").alias("insc_id"), "conclusion", signature.alias("inferida_por"), F.left("huella", F.lit(12)).alias("huella"))
+    i = inferences.select(F.col("id").alias("insc_id"), "conclusion", signature(F.col("inferidor_model"), F.col("inferidor_ts")).alias("inferida_por"), F.left("huella", F.lit(12)).alias("huella"))
     v = versions.select(F.col("id").alias("ref_id"), "referente_id", "content_hash", "url_cruda", "capture_ts", "q_id")
     q = queries.select(F.col("id").alias("q_id"), F.col("formulacion").alias("consulta"), "nec_id")
     n = needs.select(F.col("id").alias("nec_id"), "pregunta", "gatillo", F.col("origen_nodo").alias("ancla"))

@@ -133,6 +133,12 @@ def lint_inferences(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "inscripcion", "seq", "premisa").select("seq", text.is_blank(F.col("premisa")).alias("sin_premisa"))
 
 
+def lint_triplets(spark: SparkSession, d: str) -> DataFrame:
+    """Does an inference have its premise, searches and results?  And who signed it."""
+    c = read(spark, d, "inscripcion", "seq", "premisa", "busqueda", "resultados_crudos", "inferidor_model", "inferidor_ts")
+    return c.select("seq", text.triplet_ok(F.col("premisa"), F.col("busqueda"), F.col("resultados_crudos")).alias("completa"), text.signature(F.col("inferidor_model"), F.col("inferidor_ts")).alias("firma"))
+
+
 def lint_needs(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "necesidad", "seq", "pregunta", "gatillo").select("seq", text.gatillo_ok(F.col("gatillo")).alias("gatillo_ok"), text.is_blank(F.col("pregunta")).alias("sin_pregunta"))
 
@@ -194,6 +200,6 @@ def dump_tables(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = (
     current_version, first_write_wins, first_capture, orphans, unsafe_claims, trace_up, pinned_versions, load_bearing, missing_events, consumption_state,
-    consumption_gate, divergence, divergence_rounded, preflight, preflight_counts, snapshot_dedup, export_lines, export_upsert, lint_inferences, lint_needs,
+    consumption_gate, divergence, divergence_rounded, preflight, preflight_counts, snapshot_dedup, export_lines, export_upsert, lint_inferences, lint_triplets, lint_needs,
     lint_versions, lint_times, lint_schema, integrity, canonical_json, canonical_urls, det_ids, content_hashes, assert_bag, log_counts, dump_tables,
 )

@@ -103,6 +103,8 @@ ORACLES = {
     "export_lines": f"select sha256({_LINE}) line_sha, {_LINE} event from consulta",
     "export_upsert": f"select distinct sha256({_LINE}) line_sha from consulta where sha256({_LINE}) not in (select sha256({_LINE}) from consulta where ts < '2024')",
     "lint_inferences": f"select seq, {_blank('premisa')} sin_premisa from inscripcion",
+    "lint_triplets": f"""select seq, not {_blank("premisa")} and coalesce(case when json_valid(busqueda) then json_array_length(busqueda) > 0 end, false)
+      and coalesce(case when json_valid(resultados_crudos) then json_array_length(resultados_crudos) > 0 end, false) completa, coalesce(inferidor_model, 'None') || '@' || coalesce(inferidor_ts, 'None') firma from inscripcion""",
     "lint_needs": f"select seq, coalesce(starts_with(gatillo, 'explicito:') or starts_with(gatillo, 'implicito-de:'), false) gatillo_ok, {_blank('pregunta')} sin_pregunta from necesidad",
     "lint_versions": f"select seq, {_norm('content_hash')} hash, content_hash is null or content_hash in ('MATERIALIZAR', '') pendiente from version",
     "lint_schema": "select seq, coalesce(schema_version = 'aec-1', false) version_ok, coalesce(session_id, '') session_id from grano",

@@ -73,6 +73,11 @@ def release(spark: SparkSession, *paths: str) -> None:
         p.getFileSystem(conf).delete(p, True)
 
 
+def release_all(spark: SparkSession) -> None:
+    """Delete every intermediate table of this application, when no result of it is read any more."""
+    release(spark, work_dir(spark))
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)

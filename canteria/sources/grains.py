@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import document
-from ..operators.claims import missing_events
+from ..operators.claims import missing_events, orphans
+from ..plans.projection import rebuild, write_projection
 from .store import EventStore
 
 
@@ -103,6 +104,27 @@ def ingest_document(doc: object, store: EventStore, session: str | None = None,
     }
 
 
+def ingest_file(path: str, store: EventStore, spark: SparkSession | None = None, db: str | None = None, root_key: str | None = None) -> dict:
+    """The same from a file; with ``db`` the projection is rebuilt there and its orphans are counted."""
+    with open(path, encoding="utf-8") as f:
+        done = ingest_document(load_yaml(f.read()), store, root_key=root_key)
+    if db and spark:
+        tables = rebuild(store.log(spark))
+        write_projection(tables, db)
+        done["huerfanos"] = orphans(tables["afirmacion"]).count()
+    return done
+
+
+def document_state(doc: object, store: EventStore, session: str | None = None, root_key: str | None = None) -> dict:
+    """How much of one document the log has; repeats count, as nothing is ingested here."""
+    known = {e["id"] for e in store.iter_events() if "id" in e}
+    pairs = document.derive_events(doc, session, root_key)
+    gone = [{"id": i, "ev": e["ev"]} for i, e in pairs if i not in known]
+    total, there = len(pairs), len(pairs) - len(gone)
+    state = "VACIO" if not total else "CONSUMIDO" if not gone else "PARCIAL" if there else "NO-CONSUMIDO"
+    return {"estado": state, "total": total, "presentes": there, "faltantes": gone, "session_id": document.session_of(doc, session, root_key)}
+
+
 def new_events(docs: DataFrame, store_ids: DataFrame, snapshots: DataFrame, root_key: str | None = None) -> DataFrame:
     """(path, pos, id, evento): what ingesting all documents that pass lint would add, each id once."""
     refused = lint(docs, snapshots, root_key).select("path").distinct()

@@ -1,5 +1,7 @@
 import json
 import socket
+import sys
+import types
 import urllib.error
 
 import pytest
@@ -257,6 +259,54 @@ def test_export(spark, store, tmp_path):
     assert sinks.export_log(spark, store.log_path, table) == {"read": 5, "inserted": 5, "conflicts": 5}
 
 
+def test_postgres_sink_commits_once(spark, store, monkeypatch):
+    """Against a stand-in for the driver library: what is sent, and that nothing is committed before the end."""
+    rows, log = {}, []
+
+    class Cursor:
+        rowcount = 0
+
+        def __enter__(self):
+            return self
+
+        def __exit__(self, *a):
+            return False
+
+        def execute(self, sql, row):
+            assert "ON CONFLICT (line_sha) DO NOTHING" in sql
+            self.rowcount = int(row[0] not in rows)
+            rows.setdefault(*row)
+
+    class Connection:
+        cursor = Cursor
+
+        def commit(self):
+            log.append(len(rows))
+
+        def close(self):
+            log.append("closed")
+
+    library = types.ModuleType("psycopg")
+    library.connect = lambda url: Connection()
+    monkeypatch.setitem(sys.modules, "psycopg", library)
+    land(store)
+    sink = sinks.PostgresSink("postgres://x")
+    assert sinks.export_log(spark, store.log_path, sink) == {"read": 5, "inserted": 5, "conflicts": 0} and log == []
+    assert sinks.export_log(spark, store.log_path, sink)["conflicts"] == 5
+    sink.close()
+    assert log == [5, "closed"]
+
+
+def test_one_document_state(store):
+    doc = ready(store)
+    assert grains.document_state(doc, store)["estado"] == "NO-CONSUMIDO" and grains.document_state({}, store)["estado"] == "VACIO"
+    grains.ingest_document(doc, store)
+    assert grains.document_state(doc, store)["estado"] == "CONSUMIDO"
+    doc["x_aec"]["afirmaciones"].append({"txt": "new"})
+    state = grains.document_state(doc, store)
+    assert (state["estado"], [f["ev"] for f in state["faltantes"]]) == ("PARCIAL", ["afirmacion"])
+
+
 def test_stream(spark, store, tmp_path):
     folder, table = tmp_path / "in", str(tmp_path / "table")
     folder.mkdir()
