@@ -111,8 +111,8 @@ class Features:
         basic = np.minimum(code, 0xFFFF)
         kind = kinds[basic].copy()
         kind[code > 0xFFFF] = LETTER
-        self.code, self.kind, self.low = code, kind, np.where(code > 0xFFFF, code, lows[basic]).astype(np.uint64)
-        self.block = np.repeat(np.arange(len(blocks)), sizes + 2)
+        self.code, self.kind, self.low = code, kind, np.where(code > 0xFFFF, code, lows[basic])
+        self.block = np.repeat(np.arange(len(blocks), dtype=np.int32), sizes + 2)
         self._marks()
         self._pair_quotes()
         self._candidates()
@@ -156,15 +156,15 @@ class Features:
             bad = np.unique(block[at[(depth < 0) | (final & (depth != 0))]])
             good = ~np.isin(block[at], bad)
             step[at[good]] = sign[good]
-        self.depth = np.cumsum(step, dtype=np.int64)
+        self.depth = np.cumsum(step, dtype=np.int32)
         self.opener = np.full(n, -1, np.int64)
         at = np.flatnonzero(step)
         if len(at):
-            level = self.depth[at] - (step[at] > 0)
+            level = self.depth[at].astype(np.int64) - (step[at] > 0)
             key = level * (n + 1) + at
             opens = np.sort(key[step[at] > 0])
             closes = at[step[at] < 0]
-            want = self.depth[closes] * (n + 1) + closes
+            want = self.depth[closes].astype(np.int64) * (n + 1) + closes
             where = np.searchsorted(opens, want) - 1
             ok = where >= 0
             found = np.where(ok, opens[np.maximum(where, 0)], -1)
@@ -230,7 +230,7 @@ class Features:
             p = np.maximum(p, 0)
             ok &= np.isin(self.kind[p], (LETTER, UPPER, LOWER, BARE, DIGIT))
             digits &= ~ok | (self.kind[p] == DIGIT)
-            h = np.where(ok, (h * np.uint64(_BASE) + self.low[p]) & _MASK, h)
+            h = np.where(ok, (h * np.uint64(_BASE) + self.low[p].astype(np.uint64)) & _MASK, h)
             size += ok
             live = ok
         h[(size == 0) | (size > longest)] = 0
@@ -434,6 +434,26 @@ def split_blocks(text: str) -> Iterator[tuple[int, int, bool]]:
                 yield s + left, s + left + size, k > 0
 
 
+#: Characters decoded at a time; a longer block is decoded alone.
+CHARS_AT_ONCE = 1_000_000
+
+
+def _decode(prose: list[tuple[int, int, str]], model: BoundaryModel) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, start, end) of the sentences of blocks (row, start, text)."""
+    f = Features([p[2] for p in prose])
+    row, base = np.array([p[0] for p in prose]), np.array([p[1] for p in prose])
+    cut = f.at[model.decode(f)]
+    cut = cut[f.depth[cut] <= 0]  # an open quotation or bracket is never left
+    cut = np.unique(np.concatenate([cut, f.last]))  # a block always ends a sentence
+    block = f.block[cut]
+    fresh = np.concatenate([[True], block[1:] != block[:-1]])
+    blank = (f.kind == SPACE) | (f.kind == NEWLINE)
+    after = np.minimum.accumulate(np.where(blank, len(blank), np.arange(len(blank)))[::-1])[::-1]
+    begin = np.where(fresh, f.first[block], after[np.minimum(np.concatenate([[0], cut[:-1]]) + 1, len(blank) - 1)])
+    shift = base[block] - f.first[block]
+    return row[block], begin + shift, cut + 1 + shift
+
+
 def split_batch(texts: list[str | None], model: BoundaryModel) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, start, end) of every sentence of a list of texts."""
     rows, starts, ends, prose = [], [], [], []
@@ -445,26 +465,17 @@ def split_batch(texts: list[str | None], model: BoundaryModel) -> tuple[np.ndarr
                 ends.append(b)
             else:
                 prose.append((r, a, text[a:b]))
-    if prose:
-        f = Features([p[2] for p in prose])
-        row, base = np.array([p[0] for p in prose]), np.array([p[1] for p in prose])
-        cut = f.at[model.decode(f)]
-        cut = cut[f.depth[cut] <= 0]  # an open quotation or bracket is never left
-        cut = np.unique(np.concatenate([cut, f.last]))  # a block always ends a sentence
-        block = f.block[cut]
-        fresh = np.concatenate([[True], block[1:] != block[:-1]])
-        blank = (f.kind == SPACE) | (f.kind == NEWLINE)
-        after = np.minimum.accumulate(np.where(blank, len(blank), np.arange(len(blank)))[::-1])[::-1]
-        begin = np.where(fresh, f.first[block], after[np.minimum(np.concatenate([[0], cut[:-1]]) + 1, len(blank) - 1)])
-        shift = base[block] - f.first[block]
-        rows = np.concatenate([np.array(rows, np.int64), row[block]])
-        starts = np.concatenate([np.array(starts, np.int64), begin + shift])
-        ends = np.concatenate([np.array(ends, np.int64), cut + 1 + shift])
-    return np.array(rows, np.int64), np.array(starts, np.int64), np.array(ends, np.int64)
-
-
-#: Characters decoded at a time; a longer text is decoded alone.
-CHARS_AT_ONCE = 1_000_000
+    found = [(np.array(rows, np.int64), np.array(starts, np.int64), np.array(ends, np.int64))]
+    at = 0
+    while at < len(prose):
+        size, to = 0, at
+        while to < len(prose) and (to == at or size + len(prose[to][2]) <= CHARS_AT_ONCE):
+            size += len(prose[to][2])
+            to += 1
+        found.append(_decode(prose[at:to], model))
+        at = to
+    row, start, end = (np.concatenate(x) for x in zip(*found))
+    return row, start, end
 
 
 def sentences(docs: DataFrame, key: str = "doc_id", text: str = "text", train_documents: int = 8000) -> DataFrame:
