@@ -28,8 +28,11 @@ MONTHS = {
     "dec": 12, "december": 12, "dic": 12, "diciembre": 12,
 }
 
-# Names of weekdays before a date, English and Spanish, without their ends.
-_WEEKDAY = r"(?:mon|tue|wed|thu|fri|sat|sun|lun|mar|mi[eé]|jue|vie|s[aá]b|dom)[a-zé]*\.?,?\s+"
+# Weekdays before a date, English and Spanish. A short one has a comma after it: ``mar`` may be March.
+_WEEKDAY = (
+    r"(?:(?:monday|tuesday|wednesday|thursday|friday|saturday|sunday|lunes|martes|mi[eé]rcoles|jueves|viernes|s[aá]bado|domingo),?"
+    r"|(?:mon|tue|tues|wed|thu|thur|thurs|fri|sat|sun|lun|mar|mi[eé]|jue|vie|s[aá]b|dom)\.?,)\s*"
+)
 
 EPOCH = datetime(1970, 1, 1)
 _MICRO = timedelta(microseconds=1)

@@ -50,6 +50,10 @@ def us(*parts, micro=0):
         ("01-abr-2023 22:55:51", "UTC", "dmy", us(2023, 4, 1, 22, 55, 51)),
         ("11 de junio de 2023, 06:11:21", "UTC", "dmy", us(2023, 6, 11, 6, 11, 21)),
         ("Dec 14, 2023 5:45:56 PM", "UTC", "ymd", us(2023, 12, 14, 17, 45, 56)),
+        ("Mar 22, 2023 2:10:24 AM", "UTC", "ymd", us(2023, 3, 22, 2, 10, 24)),
+        ("May 5, 2023 3:03:12 PM", "UTC", "ymd", us(2023, 5, 5, 15, 3, 12)),
+        ("Mar, 14 Mar 2023 10:00:00 +0000", None, None, us(2023, 3, 14, 10)),
+        ("martes 14 de marzo de 2023, 10:00:00", "UTC", "dmy", us(2023, 3, 14, 10)),
         ("Sun, 07 May 2023 10:50:48 -0500", None, None, us(2023, 5, 7, 15, 50, 48)),
         ("Mon, 09 Jan 2023 23:02:01 GMT", None, None, us(2023, 1, 9, 23, 2, 1)),
         (" 2023-01-18T06:23:58\xa0", "UTC", "ymd", us(2023, 1, 18, 6, 23, 58)),
