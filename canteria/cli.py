@@ -12,12 +12,15 @@ from pyspark.sql import SparkSession
 
 from .functions import document
 from .plans.projection import rebuild
+from .session import ship
 from .sources import emission, fetching, grains, sinks
 from .sources.store import EventStore, log_path
 
 
 def _spark() -> SparkSession:
-    return SparkSession.builder.appName("canteria").config("spark.sql.session.timeZone", "UTC").getOrCreate()
+    spark = SparkSession.builder.appName("canteria").config("spark.sql.session.timeZone", "UTC").getOrCreate()
+    ship(spark)
+    return spark
 
 
 def _load(path: str) -> object:

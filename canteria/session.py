@@ -9,13 +9,18 @@ without that setting falls back to a folder of its own.
 from __future__ import annotations
 
 import atexit
+import functools
+import os
 import shutil
 import tempfile
 import uuid
+import zipfile
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 _LOCAL_DIRS: dict[str, str] = {}
+_SHIPPED: set[str] = set()
 
 
 def _conf(spark: SparkSession, key: str) -> str | None:
@@ -40,6 +45,38 @@ def work_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/canteria/{app}"
 
 
+def ship(spark: SparkSession) -> None:
+    """Give the workers this package, once per application, so it need not be installed where they run."""
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    if not os.path.isdir(package):  # already run from an archive
+        return
+    folder = tempfile.mkdtemp(prefix="canteria-code-")
+    atexit.register(shutil.rmtree, folder, True)
+    archive = os.path.join(folder, "canteria.zip")
+    with zipfile.ZipFile(archive, "w") as z:
+        for at, _, names in sorted(os.walk(package)):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    full = os.path.join(at, name)
+                    z.write(full, os.path.relpath(full, os.path.dirname(package)))
+    sc.addPyFile(archive)
+    _SHIPPED.add(sc.applicationId)
+
+
+def shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """The query, run where the workers have this package."""
+
+    @functools.wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
 def new_path(spark: SparkSession, tag: str) -> str:
     return f"{work_dir(spark)}/{tag}-{uuid.uuid4().hex}"
 
