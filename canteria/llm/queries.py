@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..session import materialize, read
+from ..session import materialize, read, shipped
 from . import mixing, packing, sentences, tokens
 
 
@@ -55,7 +55,7 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p6_packing, p6_report, p7_mixture, p7_mixture_strict, p7_shares, p7_shares_strict, p8_found)}
+    return {f.__name__: shipped(f) for f in (p6_packing, p6_report, p7_mixture, p7_mixture_strict, p7_shares, p7_shares_strict, p8_found)}
 
 
 def oracle_sql() -> dict[str, str]:
