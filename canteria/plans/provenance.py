@@ -9,6 +9,7 @@ from ..functions import canonical, text
 from ..operators import claims
 from ..operators.skew import salted_lookup
 from ..session import materialize, read
+from .projection import COLUMNS
 
 
 def _first(spark: SparkSession, d: str, table: str, *columns: str) -> DataFrame:
@@ -195,11 +196,21 @@ def log_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def dump_tables(spark: SparkSession, d: str) -> DataFrame:
+    """The fixed lists alone; the store is dumped by :func:`dump_projection`."""
     return claims.dump({t: read(spark, d, t) for t in ("equipo", "envase", "mezcla")})
 
 
+def dump_projection(spark: SparkSession, d: str) -> DataFrame:
+    """All rows of the seven projected tables, in order of table and row; JSON columns as they are stored."""
+    tables = {t: _first(spark, d, t, *columns[1:]).select(*columns) for t, columns in COLUMNS.items() if columns[0] == "id" and t != "referente_assert"}
+    tables["referente_assert"] = assert_bag(spark, d)
+    tables["referente"] = first_capture(spark, d)
+    return claims.dump(tables).orderBy("tabla", "fila")
+
+
 QUERIES = (
     current_version, first_write_wins, first_capture, orphans, unsafe_claims, trace_up, pinned_versions, load_bearing, missing_events, consumption_state,
     consumption_gate, divergence, divergence_rounded, preflight, preflight_counts, snapshot_dedup, export_lines, export_upsert, lint_inferences, lint_triplets, lint_needs,
     lint_versions, lint_times, lint_schema, integrity, canonical_json, canonical_urls, det_ids, content_hashes, assert_bag, log_counts, dump_tables,
+    dump_projection,
 )

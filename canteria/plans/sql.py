@@ -3,6 +3,7 @@ r"""The queries in DuckDB's SQL, for those SQL can express."""
 from __future__ import annotations
 
 from .found import REFERENCES
+from .projection import COLUMNS
 
 _W = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\p{Z}]"
 
@@ -73,6 +74,14 @@ _PREFLIGHT = f"""(select id, load_bearing, estado, case when estado in ('OK', 'Y
   (select v.id, u.id is not null load_bearing, case when content_hash is not null and content_hash not in ('MATERIALIZAR', '') then 'YA' when left(v.id, 1) in ('0', '1', '2', '3') then 'DNS'
      when left(v.id, 1) in ('4', '5') then 'TIMEOUT' when left(v.id, 1) in ('6', '7') then 'HTTP' else 'OK' end estado
    from {_first("version")} v left join (select distinct ref_id id from afirmacion where ref_id is not null and ref_id <> '') u on u.id = v.id))"""
+
+
+def _dumped(table: str, source: str) -> str:
+    fields = ", ".join(f"'{c}': coalesce({c}, chr(0))" for c in sorted(COLUMNS[table]))
+    return f"select '{table}' tabla, cast(to_json({{{fields}}}) as varchar) fila from {source}"
+
+
+_CAPTURES = "(select referente_id, case when arg_min_null(capture_ts, seq) is not null then min(capture_ts) end primera_captura from version group by referente_id)"
 _LINE = """'{"ev": "consulta", "formulacion": ' || coalesce(cast(to_json(formulacion) as varchar), 'null') || ', "id": ' || coalesce(cast(to_json(id) as varchar), 'null') || ', "nec_id": ' || coalesce(cast(to_json(nec_id) as varchar), 'null') || ', "ts": ' || coalesce(cast(to_json(ts) as varchar), 'null') || '}'"""
 
 ORACLES = {
@@ -116,4 +125,5 @@ ORACLES = {
     "dump_tables": """select 'equipo' tabla, cast(to_json({'equipo': equipo, 'orden_fecha': orden_fecha, 'zona': zona}) as varchar) fila from equipo
       union all select 'envase', cast(to_json({'capacidad': cast(capacidad as varchar), 'envase': envase}) as varchar) from envase
       union all select 'mezcla', cast(to_json({'max_rep': cast(max_rep as varchar), 'peso': cast(peso as varchar), 'source': source}) as varchar) from mezcla""",
+    "dump_projection": " union all ".join(_dumped(t, {"referente": _CAPTURES, "referente_assert": t}.get(t) or _first(t)) for t in COLUMNS),
 }
