@@ -93,6 +93,26 @@ def canonical_line(text: Column) -> Column:
     return _line_udf(text)
 
 
+def event_line(event: Column, *nested: str) -> Column:
+    """Line form of an event given as JSON text, the ``nested`` fields read as JSON; one that is no JSON stays a text."""
+
+    def one(text: str) -> str:
+        fields = json.loads(text)
+        for n in nested:
+            if fields[n] is not None:
+                try:
+                    fields[n] = json.loads(fields[n])
+                except ValueError:
+                    pass
+        return line_form(fields)
+
+    @F.pandas_udf(T.StringType())
+    def lines(texts: pd.Series) -> pd.Series:
+        return texts.map(one, na_action="ignore")
+
+    return lines(event)
+
+
 def canonical_compact(text: Column) -> Column:
     """Compact form of JSON text; null for null and for what is no JSON."""
     return _compact_udf(text)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,7 +11,8 @@ from ..functions import canonical, text
 from ..operators import claims
 from ..operators.skew import salted_lookup
 from ..session import materialize, read
-from .projection import COLUMNS
+from .found import REFERENCES
+from .projection import COLUMNS, KINDS
 
 
 def _first(spark: SparkSession, d: str, table: str, *columns: str) -> DataFrame:
@@ -64,6 +67,13 @@ def missing_events(spark: SparkSession, d: str) -> DataFrame:
     return claims.missing_events(wanted, read(spark, d, "inscripcion", "id"))
 
 
+def missing_log_events(spark: SparkSession, d: str) -> DataFrame:
+    """Ids that stored rows name, of whatever kind, and the log has no event of."""
+    wanted = [read(spark, d, t, c, "seq").where(F.col(c).isNotNull()).select(F.lit(t).alias("tabla"), F.lit(c).alias("campo"), F.col(c).alias("id"), "seq") for t, c, _ in REFERENCES]
+    there = [read(spark, d, table, "id") for table, _, _ in KINDS.values()]
+    return claims.missing_events(reduce(DataFrame.unionByName, wanted), reduce(DataFrame.unionByName, there))
+
+
 def consumption_state(spark: SparkSession, d: str) -> DataFrame:
     derived = read(spark, d, "version", "id", "q_id")
     used = read(spark, d, "afirmacion", "ref_id").select(F.col("ref_id").alias("id"))
@@ -119,7 +129,19 @@ def _lines(spark: SparkSession, d: str) -> DataFrame:
     return c.select("ts", line.alias("event")).select("ts", canonical.line_sha(F.col("event")).alias("line_sha"), "event")
 
 
+def _log_lines(spark: SparkSession, d: str) -> DataFrame:
+    """(seq, line_sha, event) of every stored log row, of all six kinds; equipo is no field of an event."""
+    parts = []
+    for kind, (table, mandatory, optional) in KINDS.items():
+        fields = ["id", *(m.rstrip("*") for m in mandatory), *optional, "ts"]
+        event = F.to_json(F.struct(F.lit(kind).alias("ev"), *fields), {"ignoreNullFields": "false"})
+        line = canonical.event_line(event, *(m.rstrip("*") for m in mandatory if m.endswith("*")))
+        parts.append(read(spark, d, table, "seq", *fields).select("seq", line.alias("event")))
+    return reduce(DataFrame.unionByName, parts).select("seq", canonical.line_sha(F.col("event")).alias("line_sha"), "event")
+
+
 def export_lines(spark: SparkSession, d: str) -> DataFrame:
+    """The lines of the queries alone; :func:`export_log_lines` has those of all kinds."""
     return _lines(spark, d).select("line_sha", "event")
 
 
@@ -129,6 +151,18 @@ def export_upsert(spark: SparkSession, d: str) -> DataFrame:
     return claims.upsert_new(lines.select("line_sha", "event"), lines.where(F.col("ts") < "2024").select("line_sha")).select("line_sha")
 
 
+def export_log_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Every line of the log, repeats kept."""
+    return _log_lines(spark, d).select("line_sha", "event")
+
+
+def export_log_upsert(spark: SparkSession, d: str) -> DataFrame:
+    """What an export of the whole log adds where its first half, by place, is already there."""
+    lines, _ = materialize(_log_lines(spark, d), "lines")
+    half = (lines.agg(F.max("seq")).first()[0] or 0) // 2
+    return claims.upsert_new(lines.select("line_sha", "event"), lines.where(F.col("seq") <= half).select("line_sha"))
+
+
 def lint_inferences(spark: SparkSession, d: str) -> DataFrame:
     """Premises that are blank or null, of every stored row."""
     return read(spark, d, "inscripcion", "seq", "premisa").select("seq", text.is_blank(F.col("premisa")).alias("sin_premisa"))
@@ -212,5 +246,5 @@ QUERIES = (
     current_version, first_write_wins, first_capture, orphans, unsafe_claims, trace_up, pinned_versions, load_bearing, missing_events, consumption_state,
     consumption_gate, divergence, divergence_rounded, preflight, preflight_counts, snapshot_dedup, export_lines, export_upsert, lint_inferences, lint_triplets, lint_needs,
     lint_versions, lint_times, lint_schema, integrity, canonical_json, canonical_urls, det_ids, content_hashes, assert_bag, log_counts, dump_tables,
-    dump_projection,
+    dump_projection, export_log_lines, export_log_upsert, missing_log_events,
 )

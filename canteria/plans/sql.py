@@ -3,7 +3,7 @@ r"""The queries in DuckDB's SQL, for those SQL can express."""
 from __future__ import annotations
 
 from .found import REFERENCES
-from .projection import COLUMNS
+from .projection import COLUMNS, KINDS
 
 _W = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\p{Z}]"
 
@@ -82,6 +82,7 @@ def _dumped(table: str, source: str) -> str:
 
 
 _CAPTURES = "(select referente_id, case when arg_min_null(capture_ts, seq) is not null then min(capture_ts) end primera_captura from version group by referente_id)"
+_LOG_IDS = " union all ".join(f"select id from {t} where id is not null" for t, _, _ in KINDS.values())
 _LINE = """'{"ev": "consulta", "formulacion": ' || coalesce(cast(to_json(formulacion) as varchar), 'null') || ', "id": ' || coalesce(cast(to_json(id) as varchar), 'null') || ', "nec_id": ' || coalesce(cast(to_json(nec_id) as varchar), 'null') || ', "ts": ' || coalesce(cast(to_json(ts) as varchar), 'null') || '}'"""
 
 ORACLES = {
@@ -126,4 +127,5 @@ ORACLES = {
       union all select 'envase', cast(to_json({'capacidad': cast(capacidad as varchar), 'envase': envase}) as varchar) from envase
       union all select 'mezcla', cast(to_json({'max_rep': cast(max_rep as varchar), 'peso': cast(peso as varchar), 'source': source}) as varchar) from mezcla""",
     "dump_projection": " union all ".join(_dumped(t, {"referente": _CAPTURES, "referente_assert": t}.get(t) or _first(t)) for t in COLUMNS),
+    "missing_log_events": f"select * from ({' union all '.join(f"select '{t}' tabla, '{c}' campo, {c} id, seq from {t} where {c} is not null" for t, c, _ in REFERENCES)}) where id not in ({_LOG_IDS})",
 }
