@@ -76,7 +76,7 @@ def content_hash(c: Column) -> Column:
 def key_bytes(c: Column) -> Column:
     """An injective, compact form of a text id: 64 lower-case hex digits become
     33 bytes, any other text keeps its bytes behind another tag."""
-    hex64 = c.rlike("^[0-9a-f]{64}$")
+    hex64 = c.rlike("^[0-9a-f]{64}\\z")
     return F.when(hex64, F.concat(F.lit(b"\x01"), F.unhex(F.when(hex64, c)))).otherwise(F.concat(F.lit(b"\x00"), c.cast("binary")))
 
 
@@ -109,7 +109,7 @@ def _let(value: Column, body) -> Column:
 _PARTS = "^(?:[A-Za-z][A-Za-z0-9+.\\-]*:)?(?://([^/?#]*))?([^?#]*)(?:\\?([^#]*))?(?:#[\\s\\S]*)?$"
 _BRACKETED = "^\\[([^\\]]*)\\](?::([\\s\\S]*))?$"
 #: A URL that is its own canonical form: no query, lower-case host, no slash at the end.
-_CANONICAL = "^https://[a-z0-9.\\-]+(?::[1-9][0-9]{0,3})?/(?:[!-~&&[^?#]]*[!-~&&[^?#/]])?$"
+_CANONICAL = "^https://[a-z0-9.\\-]+(?::[1-9][0-9]{0,3})?/(?:[!-~&&[^?#]]*[!-~&&[^?#/]])?\\z"
 
 
 def _netloc(authority: Column) -> Column:

@@ -45,3 +45,12 @@ def test_hot_missing_key_keeps_all_rows(spark):
 def test_empty(spark):
     rows = R.reference_rows(spark.createDataFrame([], "seq long, ref_id string, ts string"), "a", "ref_id", "t")
     assert R.classify_references(rows, R.merge_state(R.reference_deltas(rows))).count() == 0
+
+
+def test_hex_id_with_a_line_break_is_another_id(spark):
+    values = [HEX, HEX + "\n", HEX + "\r\n"]
+    df = spark.createDataFrame([(v,) for v in values], "v string")
+    assert [r.o for r in df.select(key_text(key_bytes(F.col("v"))).alias("o")).collect()] == values
+    refs = R.reference_rows(spark.createDataFrame([(10, HEX + "\n", "2024-05")], "seq long, ref_id string, ts string"), "a", "ref_id", "t")
+    state = R.merge_state(R.reference_deltas(refs), R.existence_deltas(spark.createDataFrame([(1, HEX)], "seq long, id string"), "t"))
+    assert [(r.seq, r.clase, r.id) for r in R.classify_references(refs, state).collect()] == [(10, "ausente", HEX + "\n")]

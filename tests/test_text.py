@@ -71,3 +71,7 @@ def test_iso(spark):
 def test_rounding(spark):
     values = [1 / 16, 3 / 80, 0.5, 2 / 3, None]
     assert column(spark, values, round3, "double") == [None if v is None else round(v, 3) for v in values]
+
+
+def test_a_clean_url_with_a_line_break_is_still_trimmed(spark):
+    assert column(spark, ["https://h.test/x\n", "https://h.test/x\r\n", "https://h.test/x"], text.canonical_url) == ["https://h.test/x"] * 3
