@@ -340,3 +340,19 @@ def test_command_line(spark, store, tmp_path, capsys, monkeypatch):
     assert cli.main(["export", *root, "--dry-run"]) == 0
     assert "'inserted': 5" in capsys.readouterr().out
     assert log_path(store.root) == store.log_path
+
+
+def test_stream_keeps_first_writes_null_ids_and_the_bag(spark, tmp_path):
+    folder, table = tmp_path / "in", str(tmp_path / "table")
+    folder.mkdir()
+    bag = '{"ev":"referente_assert","id":"r"}'
+    (folder / "1.jsonl").write_text("\n".join(['{"ev":"a","id":"1","x":1}', '{"ev":"a","id":null,"x":1}', bag, '{"ev":"a","id":"1","x":2}', '{"ev":"a","x":2}', bag, '{"ev":"b","id":"1"}']) + "\n")
+    ingest_stream(stream_lines(spark, str(folder)), table, str(tmp_path / "cp")).awaitTermination()
+    (folder / "2.jsonl").write_text("\n".join([bag, '{"ev":"a","id":null,"x":1}', '{"ev":"a","id":"1","x":3}', '{"ev":"c","id":"2"}']) + "\n")
+    ingest_stream(stream_lines(spark, str(folder)), table, str(tmp_path / "cp")).awaitTermination()
+    want = ['{"ev":"a","id":"1","x":1}', '{"ev":"a","id":null,"x":1}', '{"ev":"a","id":null,"x":1}', '{"ev":"a","x":2}', '{"ev":"b","id":"1"}', '{"ev":"c","id":"2"}', bag, bag, bag]
+    assert sorted(r.linea for r in spark.read.parquet(table).collect()) == sorted(want)
+    # the first batch again, as after a failure
+    (folder / "2.jsonl").unlink()
+    ingest_stream(stream_lines(spark, str(folder)), table, str(tmp_path / "cp-again")).awaitTermination()
+    assert spark.read.parquet(table).count() == len(want)
