@@ -145,7 +145,7 @@ def to_utc_us(raw: str | None, zona: str | None = None, orden: str | None = None
     if raw is None:
         return None
     text = unicodedata.normalize("NFKC", raw).replace("−", "-").strip().lower()
-    if not text or not text.isascii() and len(text) > 80:
+    if not text:
         return None
     us = _epoch(text)
     if us is not None:

@@ -93,3 +93,9 @@ def test_hot_value_keeps_all_rows(spark):
 
 def test_empty_table(spark):
     assert instants.normalise_instants(_tables(spark, [])).count() == 0
+
+
+@pytest.mark.parametrize("raw", ["Tue,{}3 Jan 2023 06:30:46 GMT", "2023-01-03 06:30:46{}Z"])
+@pytest.mark.parametrize("space", [" ", "\u2028", "\u1680"])
+def test_length_does_not_decide(raw, space):
+    assert to_utc_us(raw.format(space * 90)) == us(2023, 1, 3, 6, 30, 46)
