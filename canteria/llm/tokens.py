@@ -9,6 +9,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 
 #: Folder of the vocabulary files, and the byte-level vocabulary for many languages.
@@ -17,7 +18,7 @@ VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
 # Fixed value: how this family of vocabularies cuts text before merging.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: A run without white space longer than this is cut there before merging, as merging costs more than its length.
+#: A single piece of that cut, not white space, longer than this is cut again there, as merging costs more than its length.
 LONGEST_RUN = 20_000
 
 
@@ -31,17 +32,30 @@ def encoding(folder: str, name: str):
 
 
 _RUN = re.compile(r"\S{%d}" % LONGEST_RUN)
+#: The same cut; white space is named, as the two libraries differ on what \s holds.
+_PIECE = regex.compile(PATTERN.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}"))
 
 
 def count(text: str | None, enc) -> int:
-    """Tokens of a whole text; null has none."""
+    """Tokens of a whole text; null has none.
+
+    Only a single piece of the tokenizer's own cut that is longer than
+    ``LONGEST_RUN`` is counted in parts of that length.
+    """
     if not text:
         return 0
     if len(text) > LONGEST_RUN and _RUN.search(text):
-        return sum(len(enc.encode_ordinary(text[a : a + LONGEST_RUN])) for a in range(0, len(text), LONGEST_RUN))
+        pieces = _PIECE.findall(text)
+        if max(map(len, pieces)) > LONGEST_RUN:
+            return sum(_piece_count(p, enc) for p in pieces)
     return len(enc.encode_ordinary(text))
 
 
+def _piece_count(piece: str, enc) -> int:
+    step = len(piece) if piece.isspace() else LONGEST_RUN
+    return sum(len(enc.encode_ordinary(piece[a : a + step])) for a in range(0, len(piece), step))
+
+
 def with_lengths(docs: DataFrame, *keep: str, text: str = "text", folder: str = TOKENIZER_DIR, vocabulary: str = VOCABULARY) -> DataFrame:
     """The columns ``keep`` of ``docs`` and ``tokens``, the length of the text; null and empty texts have 0."""
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in (docs.schema[k] for k in keep)) + ", tokens long"
