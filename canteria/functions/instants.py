@@ -12,6 +12,9 @@ from datetime import date, datetime, timedelta, timezone
 from functools import lru_cache
 from zoneinfo import ZoneInfo, available_timezones
 
+#: Names what :func:`to_utc_us` gives; changes with it, so a kept dictionary of another reading is not used.
+PARSER_VERSION = "r2"
+
 # Month names and abbreviations, English and Spanish.
 MONTHS = {
     "jan": 1, "january": 1, "ene": 1, "enero": 1,

@@ -1,11 +1,12 @@
 """History of changing attributes by tree-reduction coalescing.
 
 Every snapshot is a unit interval at its place in (entity, instant) order.
-Neighbouring runs of equal entity and payload are merged pairwise, block by
-block, over a logarithmic number of rounds: first inside a sorted partition,
-then across partitions, where each partition hands on only the two runs that
-touch its ends.  An entity of any size is thus spread over many tasks, and no
-task ever holds more than one batch and those end runs.
+Neighbouring runs of equal entity and payload are merged pairwise over a
+logarithmic number of rounds, in three layers of one tree: the units of an
+Arrow batch, the runs the batches of a sorted partition leave open, and those
+the partitions leave open.  A block hands on only the three runs that touch
+its ends, so an entity of any size is spread over many tasks, and no task
+holds more than a batch and those end runs.
 """
 
 from __future__ import annotations
@@ -13,7 +14,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -21,9 +21,9 @@ from pyspark.sql import functions as F
 
 from ..session import materialize, shuffle_partitions
 
-#: parte, then per run: entity, payload (null: no content), first instant, end (see below), and whether the run is open.
-_RUNS = "parte int, orden long, entidad string, contenido string, desde_us long, hasta_us long, abierta boolean"
-_NAMES = ["parte", "orden", "entidad", "contenido", "desde_us", "hasta_us", "abierta"]
+#: Per run: entity, payload (null: no content), first instant, end (-1: not known or none), whether runs lie between it and the run before.
+_RUN = [("entidad", pa.string()), ("contenido", pa.string()), ("desde_us", pa.int64()), ("hasta_us", pa.int64()), ("hueco", pa.bool_())]
+_OUT = "parte int, orden long, entidad string, contenido string, desde_us long, hasta_us long, hueco boolean, abierta boolean"
 
 
 def merge_rounds(entity: np.ndarray, payload: np.ndarray) -> np.ndarray:
@@ -49,85 +49,89 @@ def _codes(column: pa.Array) -> np.ndarray:
     return encoded.to_numpy(zero_copy_only=False).astype(np.int64)
 
 
-def _local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Runs of one sorted partition.
+def reduce_block(runs: pa.Table) -> tuple[pa.Table, pa.Table]:
+    """(closed, open) runs of a block of neighbouring ones, in order of entity and instant.
 
-    Runs that neither begin nor end the partition are closed: their end is the
-    first instant of what follows, -1 where the entity ends.  The first and the
-    last run are open: more of them may lie in other partitions.
+    Of runs that begin at one instant of one entity the last counts: the
+    others last no time.  A run ends where the next one of its entity begins.
+    The first run and the last two stay open, as what lies before or after the
+    block may still be part of them or take the place of the last.
     """
+    entity, payload = _codes(runs["entidad"].combine_chunks()), _codes(runs["contenido"].combine_chunks())
+    desde, hasta, hueco = (runs[k].to_numpy() for k in ("desde_us", "hasta_us", "hueco"))
+    apart = np.cumsum(hueco)
+    over = np.concatenate([(entity[1:] == entity[:-1]) & (desde[1:] == desde[:-1]), [False]])
+    kept = np.flatnonzero(~over)
+    entity, payload, apart, desde, hasta = entity[kept], payload[kept], apart[kept], desde[kept], hasta[kept].copy()
+    start = merge_rounds(entity * (int(apart[-1]) + 1) + apart, payload)
+    last = np.concatenate([start[1:], [len(kept)]]) - 1
+    end = hasta[last]
+    goes_on = (end[:-1] == -1) & (entity[start[1:]] == entity[start[:-1]])
+    end[:-1][goes_on] = desde[start[1:]][goes_on]
+    gap = np.concatenate([[apart[0] > 0], np.diff(apart[start]) > 0])
+    names = runs.select(["entidad", "contenido"]).take(pa.array(kept[start]))
+    out = pa.table([*names.columns, pa.array(desde[start]), pa.array(end), pa.array(gap)], schema=pa.schema(_RUN))
+    is_open = np.zeros(len(start), bool)
+    is_open[0] = True
+    is_open[-2:] = True
+    closed, opened = out.filter(pa.array(~is_open)), out.filter(pa.array(is_open))
+    if len(closed):  # they lie between the first run and the last two
+        opened = opened.set_column(4, "hueco", pa.array([gap[0], True, *gap[-1:]]))
+    return closed, opened
+
+
+def _local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Runs of one sorted partition: those its batches close, then those all batches together close or leave open."""
     from pyspark import TaskContext
 
-    part, serial = TaskContext.get().partitionId(), 0
-    held: pa.Table | None = None  # the last run so far, not yet known to be over
-    first = True
+    part, serial, waiting = TaskContext.get().partitionId(), 0, []
 
-    def out(t: pa.Table, end: np.ndarray, is_open: np.ndarray) -> pa.RecordBatch:
+    def out(t: pa.Table, is_open: bool) -> pa.RecordBatch:
         nonlocal serial
-        n = len(t)
-        at = np.arange(serial, serial + n)
-        serial += n
-        cols = [pa.array(np.full(n, part, np.int32)), pa.array(at), t["entidad"].combine_chunks(), t["contenido"].combine_chunks(), t["us"].combine_chunks(), pa.array(end), pa.array(is_open)]
-        return pa.RecordBatch.from_arrays([c.chunk(0) if isinstance(c, pa.ChunkedArray) else c for c in cols], names=_NAMES)
+        at = np.arange(serial, serial + len(t))
+        serial += len(t)
+        whole = pa.table([pa.array(np.full(len(t), part, np.int32)), pa.array(at), *t.columns, pa.array(np.full(len(t), is_open))], names=["parte", "orden", *t.column_names, "abierta"])
+        return whole.combine_chunks().to_batches()[0]
 
     for b in batches:
-        t = pa.Table.from_batches([b.select(["entidad", "contenido", "us"])])
-        if not len(t):
+        n = b.num_rows
+        if not n:
             continue
-        if held is not None:
-            t = pa.concat_tables([held, t])
-        t = t.combine_chunks()
-        entity, payload = _codes(t["entidad"].chunk(0)), _codes(t["contenido"].chunk(0))
-        start = merge_rounds(entity, payload)
-        us = t["us"].to_numpy()[start]
-        ent = entity[start]
-        end = np.full(len(start), -1)
-        follows = ent[1:] == ent[:-1]
-        end[:-1][follows] = us[1:][follows]
-        runs = t.take(pa.array(start))
-        if len(start) > 1:
-            is_open = np.zeros(len(start) - 1, bool)
-            is_open[0] = first
-            first = False
-            yield out(runs.slice(0, len(start) - 1), end[:-1], is_open)
-        held = runs.slice(len(start) - 1)
-    if held is not None:
-        yield out(held, np.array([-1]), np.array([True]))
-
-
-def _across(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Joins the open runs of one entity over all partitions: two a partition at most, so their number is bounded by that of partitions."""
-    pdf = pdf.sort_values(["parte", "orden"], kind="stable").reset_index(drop=True)
-    payload = pdf["contenido"].astype("object").where(pdf["contenido"].notna(), None)
-    codes = pd.factorize(payload, use_na_sentinel=False)[0]
-    # Between the two open runs of one partition lie closed runs, unless the partition is one run; then a row is missing, not in between.
-    gap = (pdf["parte"].to_numpy()[1:] == pdf["parte"].to_numpy()[:-1]) & (pdf["hasta_us"].to_numpy()[:-1] != pdf["desde_us"].to_numpy()[1:])
-    apart = np.concatenate([[0], np.cumsum(gap)])
-    start = merge_rounds(apart, codes)
-    last = np.concatenate([start[1:], [len(pdf)]]) - 1
-    desde = pdf["desde_us"].to_numpy()
-    hasta = pdf["hasta_us"].to_numpy().copy()[last]
-    # A run still without an end is over where the next open run begins.
-    for i in np.flatnonzero(hasta[:-1] == -1):
-        hasta[i] = desde[start[i + 1]]
-    return pd.DataFrame({"entidad": pdf["entidad"].to_numpy()[start], "contenido": payload.to_numpy()[start], "desde_us": desde[start], "hasta_us": hasta})
+        units = pa.table([b.column(k) for k in ("entidad", "contenido", "us")] + [pa.array(np.full(n, -1)), pa.array(np.zeros(n, bool))], schema=pa.schema(_RUN))
+        closed, opened = reduce_block(units)
+        waiting.append(opened)
+        if len(closed):
+            yield out(closed, False)
+    if waiting:
+        closed, opened = reduce_block(pa.concat_tables(waiting))
+        if len(closed):
+            yield out(closed, False)
+        yield out(opened, True)
+
+
+def _across(runs: pa.Table) -> pa.Table:
+    """Joins the open runs of one entity over all partitions: three a partition at most, so their number is bounded by that of partitions."""
+    closed, opened = reduce_block(runs.sort_by([("parte", "ascending"), ("orden", "ascending")]).select([k for k, _ in _RUN]))
+    return pa.concat_tables([closed, opened]).select(["entidad", "contenido", "desde_us", "hasta_us"])
 
 
 def coalesce_history(df: DataFrame, entity: str, payload: str, instant: str, newest: str) -> DataFrame:
     """(entity, payload, desde_us, hasta_us): the periods in which each payload held.
 
     ``instant`` is microseconds (bigint); of several rows of one entity at one
-    instant the one with the highest ``newest`` counts alone.  A null payload
-    ends the running period and opens none.  hasta_us is the first instant of
-    what follows, -1 if nothing does.  Rows with a null entity or instant are
-    no snapshots and are left out.
+    instant the one with the highest ``newest`` counts alone (of equal ones
+    too the greatest payload).  A null payload ends the running period and
+    opens none.  hasta_us is the first instant of what follows, -1 if nothing
+    does.  Rows with a null entity or instant are no snapshots and are left
+    out.  Ties are settled by order, so that even an instant with a third of
+    all rows is spread over partitions.
     """
     spark = df.sparkSession
-    n = shuffle_partitions(spark)
+    order = ["entidad", "us", "nuevo", "contenido"]
     rows = df.where(F.col(entity).isNotNull() & F.col(instant).isNotNull()).select(F.col(entity).alias("entidad"), F.col(payload).alias("contenido"), F.col(instant).alias("us"), F.col(newest).alias("nuevo"))
-    units = rows.repartitionByRange(n, "entidad", "us").groupBy("entidad", "us").agg(F.max(F.struct("nuevo", "contenido")).alias("u")).select("entidad", "us", F.col("u.contenido").alias("contenido"))
-    runs, _ = materialize(units.sortWithinPartitions("entidad", "us").mapInArrow(_local, _RUNS), "runs")
+    units = rows.repartitionByRange(shuffle_partitions(spark), *order).sortWithinPartitions(*order)
+    runs, _ = materialize(units.mapInArrow(_local, _OUT), "runs")
     closed = runs.where("not abierta and contenido is not null").select("entidad", "contenido", "desde_us", "hasta_us")
-    joined = runs.where("abierta").select("parte", "orden", "entidad", "contenido", "desde_us", "hasta_us").groupBy("entidad").applyInPandas(_across, "entidad string, contenido string, desde_us long, hasta_us long")
+    joined = runs.where("abierta").select("parte", "orden", "entidad", "contenido", "desde_us", "hasta_us", "hueco").groupBy("entidad").applyInArrow(_across, "entidad string, contenido string, desde_us long, hasta_us long")
     both = closed.unionByName(joined.where(F.col("contenido").isNotNull()))
     return both.select(F.col("entidad").alias(entity), F.col("contenido").alias(payload), "desde_us", "hasta_us")

@@ -10,21 +10,17 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from ..functions.instants import to_utc_us
+from ..functions.instants import PARSER_VERSION, to_utc_us
 from ..functions.text import py_strip
-from ..session import new_path, path_exists
+from ..session import kept_path, materialize_with, path_exists, release
+from .skew import salted_lookup
 
 KEYS = ["raw", "zona", "orden"]
-_SCHEMA = "raw string, zona string, orden string, n long, utc_us long"
-#: A value is hot when it has more than one row in so many; there can be no more hot values than this.
-HOT_SHARE = 1000
-SALTS = 32
+_SCHEMA = "raw string, zona string, orden string, utc_us long"
 
 
 def machines(equipo: DataFrame) -> DataFrame:
@@ -34,53 +30,61 @@ def machines(equipo: DataFrame) -> DataFrame:
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        raw, zona, orden = (b.column(b.schema.get_field_index(k)).to_pylist() for k in KEYS)
-        us = [to_utc_us(r, z or None, o or None) for r, z, o in zip(raw, zona, orden)]
-        yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(k)) for k in (*KEYS, "n")), pa.array(us, pa.int64())], names=[*KEYS, "n", "utc_us"])
+        columns = [b.column(b.schema.get_field_index(k)) for k in KEYS]
+        us = [to_utc_us(r, z or None, o or None) for r, z, o in zip(*(c.to_pylist() for c in columns))]
+        yield pa.RecordBatch.from_arrays([*columns, pa.array(us, pa.int64())], names=[*KEYS, "utc_us"])
 
 
 class InstantDictionary:
     """Distinct (raw, zona, orden) values and the instants they denote.
 
-    ``path`` is a Parquet folder on shared storage.  :meth:`extend` parses only
-    the values the folder does not have yet, so a daily batch costs its new
-    values alone; :meth:`attach` joins the instants to rows.
+    What a value denotes never changes, so the dictionary is never stale and
+    is shared by all queries.  It is a Parquet folder on shared storage:
+    ``path``, else the one ``spark.canteria.kept.dir`` names, which outlives
+    the application, else one of this application.  :meth:`extend` parses only
+    values the folder lacks and adds them as a batch of their own;
+    :meth:`attach` joins the instants to rows.  Two writers at once may both
+    add a value; it is read once.
     """
 
     def __init__(self, spark: SparkSession, path: str | None = None):
         self.spark = spark
-        self.path = path or new_path(spark, "instants")
+        self.path = path or kept_path(spark, f"instants-{PARSER_VERSION}")
 
     def read(self) -> DataFrame | None:
-        return self.spark.read.schema(_SCHEMA).parquet(self.path) if path_exists(self.spark, self.path) else None
-
-    def extend(self, rows: DataFrame) -> None:
-        """Add the values of ``rows`` (raw, zona, orden) that are not there yet."""
-        fresh = rows.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n"))
-        known = self.read()
+        """(raw, zona, orden, utc_us), each value once; None while there is no dictionary."""
+        if not path_exists(self.spark, self.path):
+            return None
+        return self.spark.read.schema(_SCHEMA).parquet(self.path).select(*KEYS, "utc_us").groupBy(*KEYS).agg(F.max("utc_us").alias("utc_us"))
+
+    def extend(self, rows: DataFrame) -> tuple[DataFrame, int]:
+        """Add the values of ``rows`` (raw, zona, orden) that are not there yet; their counts (raw, zona, orden, _n) and about how many rows there are."""
+        counts, _, seen = materialize_with(rows.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("_n")), "values", rows=F.sum("_n"), values=F.count(F.lit(1)))
+        known, fresh = self.read(), counts.select(*KEYS)
         if known is not None:
             fresh = fresh.join(known.select(*KEYS), KEYS, "left_anti")
-        fresh.mapInArrow(_parse, _SCHEMA).write.mode("append").option("compression", "zstd").parquet(self.path)
-
-    def _hot(self, rows: DataFrame, counted: bool) -> DataFrame:
-        """Values with more than 1 row in HOT_SHARE: HOT_SHARE of them at most, so they may be broadcast."""
-        counts = self.read() if counted else rows.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n"))
-        total = counts.agg(F.sum("n")).first()[0] or 0
-        return counts.where(F.col("n") > max(1000, total // HOT_SHARE)).select(*KEYS)
+        if seen["values"]:
+            _, path, added = materialize_with(fresh.mapInArrow(_parse, _SCHEMA), "", f"{self.path}/lote={{}}", values=F.count(F.lit(1)))
+            if not added["values"]:
+                release(self.spark, path)
+        return counts, seen["rows"] or 0
 
-    def attach(self, rows: DataFrame, counted: bool = False) -> DataFrame:
+    def attach(self, rows: DataFrame, counts: DataFrame, total: int) -> DataFrame:
         """``rows`` with an instant, and their ``utc_us``; rows without one are left out.
 
-        Hot values are salted on both sides, so no task gets all rows of one.
-        ``counted``: the dictionary's counts are those of ``rows`` (true of the
-        first batch), which saves counting them again.
+        ``counts`` and ``total`` are those :meth:`extend` gave for ``rows`` or
+        for more; values too many rows share are salted.
         """
-        hot = self._hot(rows, counted).withColumn("_hot", F.lit(True))
-        salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(*[c for c in rows.columns if c not in KEYS]), F.lit(SALTS))).otherwise(F.lit(0)).cast("int")
-        left = rows.join(F.broadcast(hot), KEYS, "left").withColumn("_salt", salt).drop("_hot")
-        right = self.read().where(F.col("utc_us").isNotNull()).drop("n").join(F.broadcast(hot), KEYS, "left")
-        right = right.withColumn("_salt", F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))))).drop("_hot")
-        return left.join(right, [*KEYS, "_salt"]).drop("_salt")
+        known = self.read()
+        if known is None:
+            return rows.withColumn("utc_us", F.lit(None).cast("long")).limit(0)
+        return salted_lookup(rows, known.where(F.col("utc_us").isNotNull()), KEYS, total, counts=counts)
+
+
+def with_machine(rows: DataFrame, equipo: DataFrame) -> DataFrame:
+    """``rows`` with zona and orden of their machine in place of equipo; empty for a null or unknown one."""
+    rows = rows.join(machines(equipo), "equipo", "left").drop("equipo")
+    return rows.withColumn("zona", F.coalesce("zona", F.lit(""))).withColumn("orden", F.coalesce("orden_fecha", F.lit(""))).drop("orden_fecha")
 
 
 def written_values(df: DataFrame, tabla: str, fields: list[str], equipo: DataFrame) -> DataFrame:
@@ -91,23 +95,10 @@ def written_values(df: DataFrame, tabla: str, fields: list[str], equipo: DataFra
     """
     pairs = F.explode(F.array(*[F.struct(F.lit(f).alias("campo"), py_strip(F.col(f)).alias("raw")) for f in fields])).alias("p")
     rows = df.select("seq", "equipo", pairs).select("seq", "equipo", "p.campo", "p.raw").where(F.col("raw") != "")
-    rows = rows.join(machines(equipo), "equipo", "left")
-    return rows.select(F.lit(tabla).alias("tabla"), "campo", "seq", "raw", F.coalesce("zona", F.lit("")).alias("zona"), F.coalesce("orden_fecha", F.lit("")).alias("orden"))
+    return with_machine(rows, equipo).select(F.lit(tabla).alias("tabla"), "campo", "seq", "raw", "zona", "orden")
 
 
 def normalise_instants(rows: DataFrame, dictionary: InstantDictionary | None = None) -> DataFrame:
     """(tabla, campo, seq, utc_us) of every row of :func:`written_values` that denotes an instant."""
     dictionary = dictionary or InstantDictionary(rows.sparkSession)
-    first = dictionary.read() is None
-    dictionary.extend(rows)
-    return dictionary.attach(rows, counted=first).select("tabla", "campo", "seq", "utc_us")
-
-
-def instant_column(raw: str, zona: str, orden: str):
-    """The same reading as a column, for operators that need an instant per row and no dictionary."""
-
-    @F.pandas_udf(T.LongType())
-    def read(raws: pd.Series, zonas: pd.Series, ordenes: pd.Series) -> pd.Series:
-        return pd.Series([to_utc_us(r, z or None, o or None) for r, z, o in zip(raws, zonas, ordenes)], dtype="Int64")
-
-    return read(F.col(raw), F.col(zona), F.col(orden))
+    return dictionary.attach(rows, *dictionary.extend(rows)).select("tabla", "campo", "seq", "utc_us")

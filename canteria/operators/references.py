@@ -1,23 +1,28 @@
 """References to records that do not exist: signed counts per key.
 
 Change deltas say that a key gained a reference, came into existence or was
-withdrawn.  Added up per (target table, id) they are a state that later deltas
-only need to be merged into; the keys with references and no existence are the
-current orphan report, and those first stored after a reference the late ones.
+withdrawn.  Added up per (target table, id) they are a state that is kept and
+that later deltas are merged into; the keys with references and no existence
+are the current orphan report, and those first stored after a reference the
+late ones.
 """
 
 from __future__ import annotations
 
+import json
+import uuid
+from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import key_bytes, key_text
-from ..session import materialize
+from ..session import list_files, path_exists, read_text, release, write_text
 from .skew import salted_lookup
 
 STATE = ["destino", "clave"]
+STATE_SCHEMA = "destino string, clave binary, referencias long, existencias long, bajas long, ref_min long, alta_min long"
 
 
 def reference_rows(df: DataFrame, tabla: str, campo: str, destino: str) -> DataFrame:
@@ -54,6 +59,61 @@ def merge_state(*parts: DataFrame) -> DataFrame:
     return rows.groupBy(*STATE).agg(*sums, F.min("ref_min").alias("ref_min"), F.min("alta_min").alias("alta_min"))
 
 
+class KeptState:
+    """A state on shared storage that only deltas of new files are merged into.
+
+    ``path`` is a folder of numbered manifests, each naming a table of the
+    state and the data files that are in it.  :meth:`update` reads the files
+    no manifest entry has; if one that is in the state is gone or has changed,
+    the state is built anew from all files.  A manifest is written last and
+    never overwritten, so a job that dies leaves the state before it, and of
+    two writers the second keeps its own table to itself.
+    """
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path, self.read_files = spark, path, 0
+
+    def _manifest(self) -> tuple[int, dict] | None:
+        found = list_files(self.spark, f"{self.path}/manifest") if path_exists(self.spark, f"{self.path}/manifest") else {}
+        if not found:
+            return None
+        number = max(int(f.rsplit("/", 1)[-1]) for f in found)
+        return number, json.loads(read_text(self.spark, f"{self.path}/manifest/{number:012d}"))
+
+    def update(self, tables: dict[str, str], deltas: Callable[[Callable[[str], DataFrame | None]], list[DataFrame]]) -> DataFrame:
+        """The state of ``tables`` (name to path) as a stored table.
+
+        ``deltas`` gets a function from a table's name to its rows that are to
+        be added (None: none) and gives the deltas of those rows.
+        """
+        now = {name: list_files(self.spark, path) for name, path in tables.items()}
+        last = self._manifest()
+        number, old = last if last else (0, None)
+        if old and not all(now.get(name, {}).get(f) == mark for name, files in old["files"].items() for f, mark in files.items()):
+            old = None
+        fresh = {name: [f for f in files if not old or f not in old["files"].get(name, {})] for name, files in now.items()}
+        self.read_files = sum(map(len, fresh.values()))
+        if old and not self.read_files:
+            return self._state(old["state"])
+
+        def added(name: str) -> DataFrame | None:
+            whole = not old and bool(now[name])
+            return self.spark.read.parquet(tables[name]) if whole else self.spark.read.parquet(*fresh[name]) if fresh[name] else None
+
+        table = f"{self.path}/state/{uuid.uuid4().hex}"
+        parts = deltas(added) + ([self._state(old["state"])] if old else [])
+        if parts:
+            merge_state(*parts).write.option("compression", "zstd").parquet(table)
+        else:
+            self.spark.createDataFrame([], STATE_SCHEMA).write.parquet(table)
+        if write_text(self.spark, f"{self.path}/manifest/{number + 1:012d}", json.dumps({"state": table, "files": now})) and last:
+            release(self.spark, *(f"{self.path}/manifest/{k:012d}" for k in range(max(1, number - 1), number)))
+        return self._state(table)
+
+    def _state(self, table: str) -> DataFrame:
+        return self.spark.read.schema(STATE_SCHEMA).parquet(table)
+
+
 def orphan_keys(state: DataFrame) -> DataFrame:
     """Keys with references that something is wrong with: (destino, clave, referencias, clase, alta_min).
 
@@ -66,8 +126,12 @@ def orphan_keys(state: DataFrame) -> DataFrame:
 
 
 def classify_references(refs: DataFrame, state: DataFrame) -> DataFrame:
-    """(tabla, campo, seq, periodo, clase, destino, clave): the rows of ``refs`` whose target is missing, withdrawn or late."""
-    keys, _ = materialize(orphan_keys(state), "orphans")
-    rows = keys.agg(F.sum("referencias")).first()[0] or 0
-    hit = salted_lookup(refs, keys.drop("referencias"), STATE, rows) if rows else refs.join(keys.drop("referencias"), STATE)
+    """(tabla, campo, seq, periodo, clase, destino, id): the rows of ``refs`` whose target is missing, withdrawn or late.
+
+    ``state`` is that of all ``refs``, so its counts say which keys are hot;
+    it is read several times and should be a stored table.
+    """
+    rows = state.agg(F.sum("referencias")).first()[0] or 0
+    counts = state.where(F.col("referencias") > 0).select(*STATE, F.col("referencias").alias("_n"))
+    hit = salted_lookup(refs, orphan_keys(state).drop("referencias"), STATE, rows, counts=counts)
     return hit.where((F.col("clase") != "tardia") | (F.col("alta_min") > F.col("seq"))).select("tabla", "campo", "seq", "periodo", "clase", "destino", key_text(F.col("clave")).alias("id"))

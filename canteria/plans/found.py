@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import PENDING, canonical_url, is_blank, key_bytes, norm_hash, py_strip
 from ..operators import flatten, groups, history, instants, references
-from ..session import read
+from ..session import kept_path, read
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,44 +37,55 @@ def _references(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reduce(DataFrame.unionByName, rows)
 
 
-def _reference_state(spark: SparkSession, sf_dir: str, refs: DataFrame) -> DataFrame:
+def _reference_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The kept counts of a folder of tables, brought up to date with what its files have gained."""
     targets = [to for _, _, to in REFERENCES]
-    stored = [references.existence_deltas(read(spark, sf_dir, to, "id", "seq"), to) for to in targets]
-    return references.merge_state(references.reference_deltas(refs), *stored, references.withdrawal_deltas(read(spark, sf_dir, "baja", "tabla", "id"), targets))
+    tables = sorted({t for t, _, _ in REFERENCES} | set(targets))
+
+    def deltas(added: Callable[[str], DataFrame | None]) -> list[DataFrame]:
+        out = [references.reference_deltas(references.reference_rows(rows, t, c, to)) for t, c, to in REFERENCES if (rows := added(t)) is not None]
+        out += [references.existence_deltas(rows, to) for to in targets if (rows := added(to)) is not None]
+        return out + [references.withdrawal_deltas(rows, targets) for rows in [added("baja")] if rows is not None]
+
+    name = f"references/{hashlib.sha256(sf_dir.encode()).hexdigest()[:16]}"
+    return references.KeptState(spark, kept_path(spark, name)).update({t: f"{sf_dir}/{t}.parquet" for t in (*tables, "baja")}, deltas)
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every stored reference whose target is missing, withdrawn or only arrived later."""
     refs = _references(spark, sf_dir)
-    return references.classify_references(refs, _reference_state(spark, sf_dir, refs)).select("tabla", "campo", "seq", "periodo", "clase")
+    return references.classify_references(refs, _reference_state(spark, sf_dir)).select("tabla", "campo", "seq", "periodo", "clase")
 
 
 def p5_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same by table, field and month: rows and distinct ids of each class."""
     refs = _references(spark, sf_dir)
-    rows = references.classify_references(refs, _reference_state(spark, sf_dir, refs))
+    rows = references.classify_references(refs, _reference_state(spark, sf_dir))
     return rows.groupBy("tabla", "campo", "periodo", "clase", "id").agg(F.count(F.lit(1)).alias("n")).groupBy("tabla", "campo", "periodo", "clase").agg(F.sum("n").alias("filas"), F.count(F.lit(1)).alias("ids"))
 
 
 def _captures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(referente_id, content_hash, us, seq): the counting row of each version id, normalised; null content where there is none."""
-    equipo = instants.machines(read(spark, sf_dir, "equipo"))
-    rows = read(spark, sf_dir, "version", "id", "seq", "referente_id", "content_hash", "capture_ts", "equipo").join(equipo, "equipo", "left")
+    """(referente_id, content_hash, utc_us, seq): the counting row of each version id, normalised; null content where there is none."""
+    equipo = read(spark, sf_dir, "equipo")
+    dictionary = instants.InstantDictionary(spark)
+    counts, total = dictionary.extend(instants.written_values(read(spark, sf_dir, "version", "seq", "equipo", "capture_ts"), "version", ["capture_ts"], equipo))
+    rows = read(spark, sf_dir, "version", "id", "seq", "referente_id", "content_hash", "capture_ts", "equipo")
     content = F.lower(norm_hash(F.col("content_hash")))
     rows = rows.select(
         F.coalesce(key_bytes(F.col("id")), F.concat(F.lit(b"\x02"), F.col("seq").cast("string").cast("binary"))).alias("clave"),
         "seq",
         F.when(~is_blank(F.col("referente_id")), canonical_url(F.col("referente_id"))).alias("referente_id"),
         F.when(~is_blank(content) & (py_strip(F.col("content_hash")) != PENDING), content).alias("content_hash"),
-        instants.instant_column("capture_ts", "zona", "orden_fecha").alias("us"),
-    )
-    first = rows.groupBy("clave").agg(F.min_by(F.struct("referente_id", "content_hash", "us"), "seq").alias("v"), F.min("seq").alias("seq"))
-    return first.select("v.referente_id", "v.content_hash", "v.us", "seq")
+        py_strip(F.col("capture_ts")).alias("raw"), "equipo",
+    )
+    first = rows.groupBy("clave").agg(F.min_by(F.struct("referente_id", "content_hash", "raw", "equipo"), "seq").alias("v"), F.min("seq").alias("seq")).select("v.*", "seq")
+    first = instants.with_machine(first.where(F.col("referente_id").isNotNull()), equipo)
+    return dictionary.attach(first, counts, total).select("referente_id", "content_hash", "utc_us", "seq")
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each referent's contents with the periods in which they held."""
-    return history.coalesce_history(_captures(spark, sf_dir), "referente_id", "content_hash", "us", "seq")
+    return history.coalesce_history(_captures(spark, sf_dir), "referente_id", "content_hash", "utc_us", "seq")
 
 
 # The arrays of the three JSON columns.

@@ -11,6 +11,7 @@ from __future__ import annotations
 import atexit
 import functools
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -21,6 +22,7 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 _LOCAL_DIRS: dict[str, str] = {}
 _SHIPPED: set[str] = set()
+_MARKED: set[str] = set()
 
 
 def _conf(spark: SparkSession, key: str) -> str | None:
@@ -31,7 +33,7 @@ def _conf(spark: SparkSession, key: str) -> str | None:
 
 
 def work_dir(spark: SparkSession) -> str:
-    """Folder for intermediate tables of this application."""
+    """Folder for intermediate tables of this application; deleted when its driver ends."""
     base = _conf(spark, "spark.checkpoint.dir")
     app = spark.sparkContext.applicationId
     if not base:
@@ -42,7 +44,25 @@ def work_dir(spark: SparkSession) -> str:
             _LOCAL_DIRS[app] = tempfile.mkdtemp(prefix="canteria-")
             atexit.register(shutil.rmtree, _LOCAL_DIRS[app], True)
         base = _LOCAL_DIRS[app]
-    return f"{base.rstrip('/')}/canteria/{app}"
+    folder = f"{base.rstrip('/')}/canteria/{app}"
+    if app not in _MARKED:
+        fs, p = file_system(spark, folder)
+        fs.mkdirs(p)
+        fs.deleteOnExit(p)
+        _MARKED.add(app)
+    return folder
+
+
+def kept_path(spark: SparkSession, name: str) -> str:
+    """Folder for what later runs build on: under ``spark.canteria.kept.dir`` where that is set, else of this application alone."""
+    base = _conf(spark, "spark.canteria.kept.dir")
+    return f"{base.rstrip('/')}/{name}" if base else f"{work_dir(spark)}/{name}"
+
+
+def file_system(spark: SparkSession, path: str):
+    """The Hadoop file system of a path, and the path as its object."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
 def ship(spark: SparkSession) -> None:
@@ -87,14 +107,14 @@ def materialize(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
     return table, path
 
 
-def materialize_with(df: DataFrame, tag: str, **metrics: Column) -> tuple[DataFrame, str, dict[str, int]]:
-    """The same, with aggregates observed by the job that writes.
+def materialize_with(df: DataFrame, tag: str, place: str | None = None, **metrics: Column) -> tuple[DataFrame, str, dict[str, int]]:
+    """The same, with aggregates observed by the job that writes; ``place`` names the path, its {} a new name.
 
     A task that runs twice may count twice, so a metric says whether there is
     anything, and about how much, and never enters a result.
     """
     spark = df.sparkSession
-    path = new_path(spark, tag)
+    path = place.format(uuid.uuid4().hex) if place else new_path(spark, tag)
     seen = Observation() if metrics else None
     watched = df.observe(seen, *[c.alias(k) for k, c in metrics.items()]) if seen else df
     watched.write.option("compression", "zstd").parquet(path)
@@ -103,11 +123,9 @@ def materialize_with(df: DataFrame, tag: str, **metrics: Column) -> tuple[DataFr
 
 def release(spark: SparkSession, *paths: str) -> None:
     """Delete intermediate tables nothing reads any more."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
     for path in paths:
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(conf).delete(p, True)
+        fs, p = file_system(spark, path)
+        fs.delete(p, True)
 
 
 def release_all(spark: SparkSession) -> None:
@@ -116,8 +134,53 @@ def release_all(spark: SparkSession) -> None:
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+    fs, p = file_system(spark, path)
+    return fs.exists(p)
+
+
+_STATUS = re.compile(r"\w*FileStatus\{path=(.*?); isDirectory=(true|false);(?: length=(\d+);)?.*?modification_time=(\d+);")
+
+
+def list_files(spark: SparkSession, path: str) -> dict[str, str]:
+    """Data files of a table, a file or a folder of any depth, and what tells whether one has changed: its length and time."""
+    fs, p = file_system(spark, path)
+    if not fs.exists(p):
+        return {}
+    out, todo = {}, [p]
+    while todo:
+        for status in fs.listStatus(todo.pop()):
+            at, folder, length, changed = _STATUS.match(status.toString()).groups()
+            name = at.rsplit("/", 1)[-1]
+            if name.startswith(("_", ".")):
+                continue
+            if folder == "true":
+                todo.append(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at))
+            else:
+                out[at] = f"{length}@{changed}"
+    return out
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    """A small text file, on the driver."""
+    fs, p = file_system(spark, path)
+    stream = fs.open(p)
+    try:
+        return spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> bool:
+    """Write a small text file that is not there yet; False, and nothing written, if it is."""
+    fs, p = file_system(spark, path)
+    _, temporary = file_system(spark, f"{path.rsplit('/', 1)[0]}/.{uuid.uuid4().hex}")
+    stream = fs.create(temporary, True)
+    stream.write(bytearray(text.encode()))
+    stream.close()
+    done = not fs.exists(p) and fs.rename(temporary, p)
+    if not done:
+        fs.delete(temporary, False)
+    return bool(done)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -52,6 +53,24 @@ def test_many_entities_ties_and_nulls(spark):
     check(spark, rows + [(e, p, t, s + 10_000) for e, p, t, s in rows[:50]])
 
 
+def test_one_instant_over_all_partitions(spark):
+    rng = random.Random(3)
+    hot = [("hot", rng.choice("ab"), 5, i) for i in range(3000)]
+    check(spark, [("hot", "a", 1, -1), *hot, ("hot", "b", 9, 5000)])
+    check(spark, [("hot", "b", 1, -1), *hot, ("hot", hot[-1][1], 5, 6000), ("a", "x", 5, 1), ("z", "x", 5, 1)])
+
+
+@pytest.mark.parametrize("batch", [1, 2, 7])
+def test_small_batches_make_the_same_tree(spark, batch):
+    rng = random.Random(batch)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch))
+    try:
+        check(spark, [(rng.choice("eee f".replace(" ", "g")), rng.choice(["x", "y", None]), rng.randrange(40), i) for i in range(300)])
+        check(spark, [("e", "x" if i < 90 else "y", i // 3, i) for i in range(120)])
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_empty(spark):
     check(spark, [])
 

@@ -3,7 +3,8 @@ from datetime import datetime, timezone
 import pytest
 
 from canteria.functions.instants import to_utc_us
-from canteria.operators import instants
+from canteria.operators import instants, skew
+from canteria.session import new_path
 
 MADRID, NEW_YORK = "Europe/Madrid", "America/New_York"
 
@@ -76,7 +77,7 @@ def _tables(spark, rows):
 
 def test_dictionary_is_extended_not_reparsed(spark):
     first = _tables(spark, [(1, "2023-07-02T12:00:00", "m", "x", 1), (2, "2023-07-02T12:00:00", "m", "x", 1), (3, "2023-07-02T12:00:00", None, "x", 1), (4, None, "m", "x", 1)])
-    kept = instants.InstantDictionary(spark)
+    kept = instants.InstantDictionary(spark, new_path(spark, "dictionary"))
     got = {(r.seq, r.utc_us) for r in instants.normalise_instants(first, kept).collect()}
     assert got == {(1, us(2023, 7, 2, 10)), (2, us(2023, 7, 2, 10))}
     size = kept.read().count()
@@ -86,9 +87,29 @@ def test_dictionary_is_extended_not_reparsed(spark):
     assert kept.read().count() == size + 1
 
 
-def test_hot_value_keeps_all_rows(spark):
+def test_second_run_parses_nothing(spark, tmp_path):
+    rows = _tables(spark, [(1, "2023-07-02T12:00:00", "m", "x", 1), (2, "n/d", "m", "x", 1)])
+    kept = instants.InstantDictionary(spark, str(tmp_path / "kept"))
+    first = [tuple(r) for r in instants.normalise_instants(rows, kept).collect()]
+    batches = sorted(p.name for p in (tmp_path / "kept").iterdir())
+    assert [tuple(r) for r in instants.normalise_instants(rows, instants.InstantDictionary(spark, kept.path)).collect()] == first
+    assert sorted(p.name for p in (tmp_path / "kept").iterdir()) == batches
+
+
+def test_value_added_by_two_writers_counts_once(spark):
+    rows = _tables(spark, [(1, "2023-07-02T12:00:00", "m", "x", 1)])
+    kept = instants.InstantDictionary(spark, new_path(spark, "dictionary"))
+    counts, total = kept.extend(rows)
+    batch = spark.read.parquet(kept.path).select(*instants.KEYS, "utc_us")
+    batch.write.parquet(f"{kept.path}/lote=other")
+    assert kept.read().count() == batch.distinct().count() and kept.attach(rows, counts, total).count() == 1
+
+
+@pytest.mark.parametrize("least", [10, 50_000])
+def test_hot_value_keeps_all_rows(spark, monkeypatch, least):
+    monkeypatch.setattr(skew, "HOT_ROWS", least)
     rows = _tables(spark, [(i, "2023-07-02" if i % 3 else "n/d", "m", "x", 1) for i in range(6000)])
-    assert instants.normalise_instants(rows).count() == 4000
+    assert instants.normalise_instants(rows, instants.InstantDictionary(spark, None)).count() == 4000
 
 
 def test_empty_table(spark):

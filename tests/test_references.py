@@ -1,7 +1,11 @@
+import shutil
+
 from pyspark.sql import functions as F
 
 from canteria.functions.text import key_bytes, key_text
 from canteria.operators import references as R
+from canteria.operators import skew
+from canteria.session import list_files, materialize, read_text, write_text
 
 HEX = "ab" * 32
 
@@ -42,6 +46,64 @@ def test_hot_missing_key_keeps_all_rows(spark):
     assert R.classify_references(rows, R.merge_state(R.reference_deltas(rows))).count() == 90_000
 
 
+def test_few_orphans_among_many_references_broadcast_few_keys(spark, monkeypatch):
+    """The list of hot keys is measured against all references, not only those to orphans."""
+    monkeypatch.setattr(skew, "HOT_ROWS", 10)
+    refs = spark.range(60_000).select(F.col("id").alias("seq"), F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("k"), F.col("id") % 3000)).alias("ref_id"), F.lit("2024").alias("ts"))
+    gone = spark.range(20).select((F.col("id") + 60_000).alias("seq"), F.lit("gone").alias("ref_id"), F.lit("2024").alias("ts"))
+    rows = R.reference_rows(refs.unionByName(gone), "a", "ref_id", "t")
+    stored = refs.select(F.lit(-1).cast("long").alias("seq"), F.col("ref_id").alias("id")).distinct()
+    state, _ = materialize(R.merge_state(R.reference_deltas(rows), R.existence_deltas(stored, "t")), "state")
+    counts = state.where("referencias > 0").select(*R.STATE, F.col("referencias").alias("_n"))
+    hot = skew.hot_keys(counts, R.STATE, 60_020)
+    assert hot.count() < 1000 and hot.agg(F.sum("_k")).first()[0] <= 2 * skew.HOT_SHARE
+    assert hot.agg(F.max("_k")).first()[0] == 2000
+    assert R.classify_references(rows, state).count() == 20
+
+
+def _folder(spark, at, tables):
+    for name, (schema, rows) in tables.items():
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{at}/{name}.parquet")
+
+
+def _update(spark, at, kept):
+    refs = R.reference_rows(spark.read.parquet(f"{at}/a.parquet"), "a", "ref_id", "t")
+
+    def deltas(added):
+        a, t, b = added("a"), added("t"), added("baja")
+        return [
+            *([R.reference_deltas(R.reference_rows(a, "a", "ref_id", "t"))] if a is not None else []), *([R.existence_deltas(t, "t")] if t is not None else []),
+            *([R.withdrawal_deltas(b, ["t"])] if b is not None else []),
+        ]
+
+    state = kept.update({n: f"{at}/{n}.parquet" for n in ("a", "t", "baja")}, deltas)
+    return {(r.seq, r.clase) for r in R.classify_references(refs, state).collect()}
+
+
+def test_kept_state_reads_only_new_files(spark, tmp_path):
+    at, kept = str(tmp_path / "tables"), str(tmp_path / "kept")
+    a, t, b = "seq long, ref_id string, ts string", "seq long, id string", "tabla string, id string"
+    _folder(spark, at, {"a": (a, [(1, "k", "x"), (2, "m", "x"), (3, "n", "x")]), "t": (t, [(0, "n")]), "baja": (b, [("t", "zz")])})
+    state = R.KeptState(spark, kept)
+    assert _update(spark, at, state) == {(1, "ausente"), (2, "ausente")} and state.read_files == 3
+    assert _update(spark, at, state) == {(1, "ausente"), (2, "ausente")} and state.read_files == 0
+    _folder(spark, at, {"a": (a, [(5, "k", "y")]), "t": (t, [(4, "k")])})
+    assert _update(spark, at, R.KeptState(spark, kept)) == {(1, "tardia"), (2, "ausente")}
+    _folder(spark, at, {"baja": (b, [("t", "n")])})
+    state = R.KeptState(spark, kept)
+    assert _update(spark, at, state) == {(1, "tardia"), (2, "ausente"), (3, "baja")} and state.read_files == 1
+    # A file of the state that changes makes it be built anew.
+    shutil.rmtree(f"{at}/t.parquet")
+    _folder(spark, at, {"t": (t, [(0, "m"), (0, "k")])})
+    state = R.KeptState(spark, kept)
+    assert _update(spark, at, state) == {(3, "baja")} and state.read_files == 5
+
+
+def test_a_manifest_is_never_overwritten(spark, tmp_path):
+    assert write_text(spark, f"{tmp_path}/m/1", "a") and not write_text(spark, f"{tmp_path}/m/1", "b") and read_text(spark, f"{tmp_path}/m/1") == "a"
+    assert list(list_files(spark, f"{tmp_path}/m")) == [f"file:{tmp_path}/m/1"] and list_files(spark, f"{tmp_path}/none") == {}
+
+
 def test_empty(spark):
     rows = R.reference_rows(spark.createDataFrame([], "seq long, ref_id string, ts string"), "a", "ref_id", "t")
     assert R.classify_references(rows, R.merge_state(R.reference_deltas(rows))).count() == 0
