@@ -106,8 +106,8 @@ def _let(value: Column, body) -> Column:
 
 
 # scheme ":" "//" authority path "?" query "#" fragment
-_PARTS = "^(?:[A-Za-z][A-Za-z0-9+.\\-]*:)?(?://([^/?#]*))?([^?#]*)(?:\\?([^#]*))?(?:#[\\s\\S]*)?$"
-_BRACKETED = "^\\[([^\\]]*)\\](?::([\\s\\S]*))?$"
+URL_PARTS = "^(?:[A-Za-z][A-Za-z0-9+.\\-]*:)?(?://([^/?#]*))?([^?#]*)(?:\\?([^#]*))?(?:#[\\s\\S]*)?$"
+BRACKETED = "^\\[([^\\]]*)\\](?::([\\s\\S]*))?$"
 #: A URL that is its own canonical form: no query, lower-case host, no slash at the end.
 _CANONICAL = "^https://[a-z0-9.\\-]+(?::[1-9][0-9]{0,3})?/(?:[!-~&&[^?#]]*[!-~&&[^?#/]])?\\z"
 
@@ -117,8 +117,8 @@ def _netloc(authority: Column) -> Column:
 
     def of(host_port: Column) -> Column:
         is_v6 = F.startswith(host_port, F.lit("["))
-        host = F.lower(F.when(is_v6, F.regexp_extract(host_port, _BRACKETED, 1)).otherwise(F.substring_index(host_port, ":", 1)))
-        port = F.when(is_v6, F.regexp_extract(host_port, _BRACKETED, 2)).otherwise(F.regexp_extract(host_port, "^[^:]*:([\\s\\S]*)$", 1))
+        host = F.lower(F.when(is_v6, F.regexp_extract(host_port, BRACKETED, 1)).otherwise(F.substring_index(host_port, ":", 1)))
+        port = F.when(is_v6, F.regexp_extract(host_port, BRACKETED, 2)).otherwise(F.regexp_extract(host_port, "^[^:]*:([\\s\\S]*)$", 1))
         number = F.when(port.rlike("^[0-9]{1,9}$"), port).cast("int")
         return F.when((port == "") | (number == 0), host).when(number <= 65535, F.concat_ws(":", host, number.cast("string")))
 
@@ -155,5 +155,5 @@ def canonical_url(url: Column) -> Column:
     gives null; so does a port that is no number up to 65535.
     """
     cleaned = F.regexp_replace(F.regexp_replace(py_strip(url), "^[\\x00-\\x20]+", ""), "[\\t\\r\\n]", "")
-    parts = _let(cleaned, lambda s: F.struct(_netloc(F.regexp_extract(s, _PARTS, 1)).alias("netloc"), F.regexp_extract(s, _PARTS, 2).alias("path"), _query(F.regexp_extract(s, _PARTS, 3)).alias("tail")))
+    parts = _let(cleaned, lambda s: F.struct(_netloc(F.regexp_extract(s, URL_PARTS, 1)).alias("netloc"), F.regexp_extract(s, URL_PARTS, 2).alias("path"), _query(F.regexp_extract(s, URL_PARTS, 3)).alias("tail")))
     return F.when(url.rlike(_CANONICAL), url).otherwise(_let(parts, _assemble))

@@ -1,12 +1,15 @@
-"""The relational projection, rebuilt from the log: a plan over one parse, nothing stored."""
+"""The relational projection, rebuilt from the log: one parse, split by kind, and a plan over each part."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.canonical import canonical_line
 from ..operators.claims import first_capture, first_write_wins
+from ..session import new_path
 
 # The event kinds, and the fields of their tables; a * marks JSON kept in canonical line form.
 KINDS = {
@@ -29,36 +32,56 @@ COLUMNS = {
 }
 
 
-def _text(line: Column, field: str) -> Column:
-    # Booleans are stored as 1 and 0, as in a column of text affinity.
-    value = F.get_json_object(line, f"$.{field}")
-    raw = F.try_parse_json(line)
-    flag = F.try_variant_get(raw, f"$.{field}", "boolean")
-    kind = F.schema_of_variant(F.try_variant_get(raw, f"$.{field}", "variant"))
-    return F.when(kind == "BOOLEAN", F.when(flag, F.lit("1")).otherwise(F.lit("0"))).otherwise(value)
+def _fields(kind: str) -> tuple[list[str], list[str], set[str]]:
+    """Mandatory and other fields of a kind, and those that hold JSON."""
+    _, mandatory, optional = KINDS[kind]
+    return ["id", *(m.rstrip("*") for m in mandatory)], [*optional, "ts"], {m.rstrip("*") for m in mandatory if m.endswith("*")}
+
+
+FIELDS = sorted({f for kind in KINDS for part in _fields(kind)[:2] for f in part})
+
+
+def _cell(field: str) -> Column:
+    """A field as text; a boolean is 1 or 0, as in a column of text affinity, but the words true and false stay."""
+    value = F.col(f"e.{field}")
+    is_flag = F.schema_of_variant(F.try_variant_get(F.try_parse_json("linea"), f"$.{field}", "variant")) == "BOOLEAN"
+    return F.when(value.isin("true", "false") & is_flag, F.when(value == "true", F.lit("1")).otherwise(F.lit("0"))).otherwise(value)
+
+
+def parse_log(log: DataFrame, strict: bool = True) -> DataFrame:
+    """(seq, ev and every field of any kind) of the events of known kinds in a log (seq, linea): one JSON parse a line.
+
+    ``strict`` makes a missing mandatory field an error that names the event;
+    one that is there and null is none.
+    """
+    schema = ", ".join(f"`{f}` string" for f in ("ev", *FIELDS))
+    rows = log.select("seq", "linea", F.from_json("linea", schema, {"allowSingleQuotes": "false"}).alias("e")).where(F.col("e.ev").isin(*KINDS))
+    ev = F.col("e.ev")
+    if strict:
+        names = F.create_map(*[x for k in KINDS for x in (F.lit(k), F.array(*map(F.lit, _fields(k)[0])))])[ev]
+        some_null = reduce(lambda a, b: a | b, [(ev == k) & reduce(lambda a, b: a | b, [F.col(f"e.{n}").isNull() for n in _fields(k)[0]]) for k in KINDS])
+        lacking = F.array_except(names, F.json_object_keys("linea"))
+        ev = F.when(some_null & (F.size(lacking) > 0), F.raise_error(F.concat(ev, F.lit(" lacks "), F.array_join(lacking, ", "), F.lit(" at "), F.to_json("seq")))).otherwise(ev)
+    return rows.select("seq", ev.alias("ev"), *[_cell(f).alias(f) for f in FIELDS])
 
 
 def rebuild(log: DataFrame, strict: bool = True) -> dict[str, DataFrame]:
     """The seven tables from a log (seq, linea); the same log gives the same tables.
 
+    The log is read and parsed once, into a stored table split by kind.
     Unknown kinds are skipped.  The first write of an id wins, rows with a
-    null id are all kept, assertions are a bag.  ``strict`` makes a missing
-    mandatory field an error that names the event.
+    null id are all kept, assertions are a bag.  ``strict``: see
+    :func:`parse_log`.
     """
-    events = log.withColumn("ev", F.get_json_object("linea", "$.ev"))
-    keys = F.json_object_keys("linea")
+    spark = log.sparkSession
+    parsed, path = parse_log(log, strict), new_path(spark, "events")
+    parsed.write.partitionBy("ev").option("compression", "zstd").parquet(path)
+    events = spark.read.schema(parsed.schema).parquet(path)
     out: dict[str, DataFrame] = {}
-    for kind, (table, mandatory, optional) in KINDS.items():
-        rows = events.where(F.col("ev") == kind)
-        names = ["id", *(m.rstrip("*") for m in mandatory)]
-        if strict:
-            lacking = F.array_except(F.array(*[F.lit(n) for n in names]), keys)
-            rows = rows.withColumn("linea", F.when(F.size(lacking) == 0, F.col("linea")).otherwise(F.raise_error(F.concat(F.lit(f"{kind} lacks "), F.array_join(lacking, ", "), F.lit(" at "), F.to_json("seq")))))
-        fields = [_text(F.col("linea"), n).alias(n) for n in ("id", "ts", *optional)]
-        for m in mandatory:
-            n = m.rstrip("*")
-            fields.append((canonical_line(F.get_json_object("linea", f"$.{n}")) if m.endswith("*") else _text(F.col("linea"), n)).alias(n))
-        out[table] = rows.select("seq", *fields)
+    for kind in KINDS:
+        mandatory, optional, nested = _fields(kind)
+        cells = [(F.coalesce(canonical_line(F.col(f)), F.col(f)) if f in nested else F.col(f)).alias(f) for f in (*mandatory, *optional)]
+        out[KINDS[kind][0]] = events.where(F.col("ev") == kind).select("seq", *cells)
     referente = first_capture(out["version"]).select(*COLUMNS["referente"])
     tables = {t: (df if t == "referente_assert" else first_write_wins(df)).select(*COLUMNS[t]) for t, df in out.items()}
     return tables | {"referente": referente}

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import document
 from ..operators.claims import missing_events, orphans
 from ..plans.projection import rebuild, write_projection
+from ..session import materialize, release
 from .store import EventStore
 
 
@@ -31,35 +32,45 @@ def read_grains(spark: SparkSession, folder: str) -> DataFrame:
     return files.select("path", F.decode("content", "UTF-8").alias("texto"))
 
 
-def _by_document(docs: DataFrame, one, schema: str) -> DataFrame:
-    """``one(path, doc, error)`` gives rows for each document; a document that is no YAML has an error."""
+def one_document(spark: SparkSession, path: str, text: str) -> DataFrame:
+    return spark.createDataFrame([(path, text)], "path string, texto string")
+
+
+def _by_document(docs: DataFrame, one, schema: str, load=load_yaml) -> DataFrame:
+    """``one(path, doc, error)`` gives rows for each document; one that cannot be read, or whose tree ``one`` cannot walk, has an error."""
+    names = [x.split()[0] for x in schema.split(", ")]
+
+    def rows_of(path: str, text: str) -> list[tuple]:
+        try:
+            return list(one(path, load(text), None))
+        except Exception as e:
+            return list(one(path, None, f"{type(e).__name__}: {e}"))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [x.split()[0] for x in schema.split(", ")]
         for f in frames:
-            rows: list[tuple] = []
-            for path, text in zip(f["path"], f["texto"]):
-                try:
-                    doc, error = load_yaml(text), None
-                except Exception as e:
-                    doc, error = None, f"{type(e).__name__}: {e}"
-                rows += one(path, doc, error)
-            yield pd.DataFrame(rows, columns=names)
+            yield pd.DataFrame([r for path, text in zip(f["path"], f["texto"]) for r in rows_of(path, text)], columns=names)
+
+    return docs.select("path", "texto").mapInPandas(run, schema)
 
-    return docs.mapInPandas(run, schema)
 
+def derived_events(docs: DataFrame, root_key: str, load=load_yaml) -> DataFrame:
+    """(path, session_id, pos, id, ev, evento, error): every event the documents give, in order of pos; evento is JSON.
 
-def derived_events(docs: DataFrame, root_key: str | None = None) -> DataFrame:
-    """(path, pos, id, ev, evento): every event the documents give, in order of pos; evento is JSON."""
+    A document that gives none has one row with a null pos: with its error if
+    it could not be read or its tree is none of a document.
+    """
 
     def one(path: str, doc: object, error: str | None) -> list[tuple]:
-        pairs = document.derive_events(doc, root_key=root_key)
-        return [(path, k, i, e["ev"], json.dumps(e, ensure_ascii=False, sort_keys=True, default=str)) for k, (i, e) in enumerate(pairs)]
+        session = document.session_of(doc, root_key)
+        pairs = document.derive_events(doc, root_key)
+        rows = [(path, session, k, i, e["ev"], json.dumps({**e, "id": i}, ensure_ascii=False, sort_keys=True, default=str), None) for k, (i, e) in enumerate(pairs)]
+        return rows or [(path, session, None, None, None, None, error)]
 
-    return _by_document(docs, one, "path string, pos int, id string, ev string, evento string")
+    rows = _by_document(docs, one, "path string, session_id string, pos double, id string, ev string, evento string, error string", load)
+    return rows.withColumn("pos", F.col("pos").cast("int"))
 
 
-def lint(docs: DataFrame, snapshots: DataFrame, root_key: str | None = None) -> DataFrame:
+def lint(docs: DataFrame, snapshots: DataFrame, root_key: str, load=load_yaml) -> DataFrame:
     """(path, pos, regla, mensaje): what stands against each document, in report order."""
 
     def one(path: str, doc: object, error: str | None) -> list[tuple]:
@@ -67,67 +78,76 @@ def lint(docs: DataFrame, snapshots: DataFrame, root_key: str | None = None) ->
             return [(path, 0, "YAML", error, None)]
         return [(path, k, *x) for k, x in enumerate(document.lint(doc, root_key))]
 
-    found = _by_document(docs, one, "path string, pos int, regla string, mensaje string, hash string")
+    found = _by_document(docs, one, "path string, pos int, regla string, mensaje string, hash string", load)
     stored = snapshots.select(F.col("content_hash").alias("hash")).distinct().withColumn("_there", F.lit(True))
     held = found.join(stored, "hash", "left").where(F.col("hash").isNull() | F.col("_there").isNull())
     return held.select("path", "pos", "regla", "mensaje")
 
 
-def states(docs: DataFrame, log_ids: DataFrame, root_key: str | None = None) -> DataFrame:
-    """(path, session_id, estado, total, presentes, faltantes, error) of every document."""
+def states_of(events: DataFrame, log_ids: DataFrame) -> DataFrame:
+    """(path, session_id, estado, total, presentes, faltantes, error) of every document of :func:`derived_events`; repeats count."""
+    there = log_ids.select("id").where(F.col("id").isNotNull()).distinct().withColumn("_in", F.lit(True))
+    real = F.col("id").isNotNull()
+    gone = F.array_sort(F.collect_list(F.when(real & F.col("_in").isNull(), F.struct("pos", "id", "ev"))))  # bounded by one document
+    rows = events.join(there, "id", "left").groupBy("path").agg(
+        F.max("session_id").alias("session_id"), F.count("id").alias("total"), F.count("_in").alias("presentes"), gone.alias("faltantes"), F.max("error").alias("error")
+    )
+    state = F.when(F.col("error").isNotNull(), "ERROR").when(F.col("total") == 0, "VACIO").when(F.col("presentes") == 0, "NO-CONSUMIDO").when(F.col("presentes") == F.col("total"), "CONSUMIDO").otherwise("PARCIAL")
+    return rows.select("path", "session_id", state.alias("estado"), "total", "presentes", "faltantes", "error")
 
-    def one(path: str, doc: object, error: str | None) -> list[tuple]:
-        return [(path, "" if error else document.session_of(doc, root_key=root_key), error)]
 
-    heads = _by_document(docs, one, "path string, session_id string, error string")
-    events = derived_events(docs, root_key)
-    there = log_ids.select("id").distinct().withColumn("_in", F.lit(True))
-    gone = F.array_sort(F.collect_list(F.when(F.col("_in").isNull(), F.struct("pos", "id", "ev"))))  # bounded by one document
-    counts = events.join(there, "id", "left").groupBy("path").agg(F.count(F.lit(1)).alias("total"), F.count("_in").alias("presentes"), gone.alias("faltantes"))
-    rows = heads.join(counts, "path", "left").fillna(0, ["total", "presentes"])
-    state = F.when(F.col("error").isNotNull(), "ERROR").when(F.col("total") == 0, "VACIO").when(F.col("presentes") == 0, "NO-CONSUMIDO").when(F.col("presentes") == F.col("total"), "CONSUMIDO").otherwise("PARCIAL")
-    return rows.select("path", "session_id", state.alias("estado"), "total", "presentes", "faltantes", "error").orderBy("path")
+def states(docs: DataFrame, log_ids: DataFrame, root_key: str) -> DataFrame:
+    """The same from documents, each parsed once, in order of path."""
+    return states_of(derived_events(docs, root_key), log_ids).orderBy("path")
 
 
-def ingest_document(doc: object, store: EventStore, session: str | None = None, root_key: str | None = None) -> dict:
-    """One document into the log, once: raises :class:`LintError` and stores nothing if it does not pass."""
-    against = [f"{rule}: {text}" for rule, text, needed in document.lint(doc, root_key) if needed is None or not needed or not store.has_snapshot(needed)]
-    if against:
-        raise LintError("; ".join(against))
-    known = {e["id"] for e in store.iter_events() if "id" in e}
-    pairs = document.derive_events(doc, session, root_key)
-    fresh = {i: {**e, "id": i} for i, e in reversed(pairs) if i not in known}
-    stored = store.append([fresh.pop(i) for i, _ in pairs if i in fresh])
-    return {
-        "session_id": document.session_of(doc, session, root_key), "appended": len(stored), "noop": not stored,
-        "afirmaciones": [i for i, e in pairs if e["ev"] == "afirmacion"], "necesidad": next((i for i, e in pairs if e["ev"] == "necesidad"), None),
-    }
+def fresh_events(events: DataFrame, log_ids: DataFrame) -> DataFrame:
+    """(path, pos, id, ev, evento): of events the first of each id, by path and place, that the log lacks."""
+    first = events.where(F.col("id").isNotNull()).groupBy("id").agg(F.min_by(F.struct("path", "pos", "ev", "evento"), F.struct("path", "pos")).alias("e")).select("id", "e.*")
+    return missing_events(first, log_ids).select("path", "pos", "id", "ev", "evento")
+
+
+def new_events(docs: DataFrame, log_ids: DataFrame, snapshots: DataFrame, root_key: str) -> DataFrame:
+    """What ingesting all documents that pass lint would add, each id once."""
+    refused = lint(docs, snapshots, root_key).select("path").distinct()
+    return fresh_events(derived_events(docs, root_key).join(refused, "path", "left_anti"), log_ids)
 
 
-def ingest_file(path: str, store: EventStore, spark: SparkSession | None = None, db: str | None = None, root_key: str | None = None) -> dict:
-    """The same from a file; with ``db`` the projection is rebuilt there and its orphans are counted."""
+def ingest(docs: DataFrame, store: EventStore, root_key: str) -> dict[str, int]:
+    """All documents into the log, by lint, anti-join and one append of all tasks: {documentos, rechazados, appended}.
+
+    A document that does not pass adds nothing; doing it again adds nothing.
+    """
+    spark = docs.sparkSession
+    counts = docs.select("path").join(lint(docs, store.snapshots(spark), root_key).select("path").distinct().withColumn("_no", F.lit(True)), "path", "left").agg(F.count(F.lit(1)).alias("n"), F.count("_no").alias("no")).first()
+    fresh, at = materialize(new_events(docs, store.log_ids(spark), store.snapshots(spark), root_key), "fresh")
+    appended = store.append_frame(fresh, "path", "pos")
+    release(spark, at)
+    return {"documentos": counts["n"], "rechazados": counts["no"], "appended": appended}
+
+
+def ingest_file(spark: SparkSession, path: str, store: EventStore, root_key: str, db: str | None = None) -> dict:
+    """One YAML document into the log, once: raises :class:`LintError` and stores nothing if it does not pass.
+
+    The log is searched for the document's ids by Spark and never read by the
+    driver.  With ``db`` the projection is rebuilt there and its orphans are
+    counted.
+    """
     with open(path, encoding="utf-8") as f:
-        done = ingest_document(load_yaml(f.read()), store, root_key=root_key)
-    if db and spark:
+        docs = one_document(spark, path, f.read())
+    against = [f"{r.regla}: {r.mensaje}" for r in lint(docs, store.snapshots(spark), root_key).orderBy("pos").collect()]  # bounded by one document
+    if against:
+        raise LintError("; ".join(against))
+    events = derived_events(docs, root_key)
+    every = events.orderBy("pos").collect()
+    fresh = [json.loads(r.evento) for r in fresh_events(events, store.log_ids(spark)).orderBy("pos").collect()]
+    stored = store.append(fresh)
+    done = {
+        "session_id": every[0].session_id, "appended": len(stored), "noop": not stored,
+        "afirmaciones": [r.id for r in every if r.ev == "afirmacion"], "necesidad": next((r.id for r in every if r.ev == "necesidad"), None),
+    }
+    if db:
         tables = rebuild(store.log(spark))
         write_projection(tables, db)
         done["huerfanos"] = orphans(tables["afirmacion"]).count()
     return done
-
-
-def document_state(doc: object, store: EventStore, session: str | None = None, root_key: str | None = None) -> dict:
-    """How much of one document the log has; repeats count, as nothing is ingested here."""
-    known = {e["id"] for e in store.iter_events() if "id" in e}
-    pairs = document.derive_events(doc, session, root_key)
-    gone = [{"id": i, "ev": e["ev"]} for i, e in pairs if i not in known]
-    total, there = len(pairs), len(pairs) - len(gone)
-    state = "VACIO" if not total else "CONSUMIDO" if not gone else "PARCIAL" if there else "NO-CONSUMIDO"
-    return {"estado": state, "total": total, "presentes": there, "faltantes": gone, "session_id": document.session_of(doc, session, root_key)}
-
-
-def new_events(docs: DataFrame, store_ids: DataFrame, snapshots: DataFrame, root_key: str | None = None) -> DataFrame:
-    """(path, pos, id, evento): what ingesting all documents that pass lint would add, each id once."""
-    refused = lint(docs, snapshots, root_key).select("path").distinct()
-    events = derived_events(docs, root_key).join(refused, "path", "left_anti")
-    first = events.groupBy("id").agg(F.min_by(F.struct("path", "pos", "ev", "evento"), F.struct("path", "pos")).alias("e")).select("id", "e.*")
-    return missing_events(first, store_ids)

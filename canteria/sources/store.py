@@ -5,75 +5,140 @@ from __future__ import annotations
 import json
 import os
 import tempfile
-from collections.abc import Callable, Iterable
+import uuid
+from collections.abc import Callable, Iterable, Iterator
 from datetime import datetime
 from hashlib import sha256
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.canonical import ISO, canonical_line, line_form, line_sha
-from ..functions.text import py_strip
+from ..functions.text import content_hash, py_strip
+from ..session import file_system, path_exists
 
 # The layout of a store.
 LOG_DIR, LOG_NAME, SNAPSHOT_DIR = "log", "inscripciones.jsonl", "snapshots"
+#: Folder beside the log file with what was appended by many tasks at once, a numbered folder for each time.
+SEGMENT_DIR = "segmentos"
+
+
+def now() -> str:
+    return datetime.now().strftime(ISO)
 
 
 def log_path(root: str) -> str:
     return os.path.join(os.path.abspath(root), LOG_DIR, LOG_NAME)
 
 
-def read_log(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
-    """(seq, linea) of every line that is not blank.
+def _one_json(line: Column) -> Column:
+    """Is the line one JSON value, as Python's reader takes them?
 
-    seq is a sortable place (file, block, row in block), so reading in order
-    needs no shuffle.  ``strict`` makes a line that is no JSON an error when it
-    is read, naming its place; otherwise such lines are left out.  A missing
-    log has no lines.
+    It is read as the first of two elements of an array; a line that closes
+    the array itself, or holds more than one value, does not leave the second,
+    which no line can guess, in its place.
     """
-    if "://" not in path and not os.path.exists(path):
+    mark = uuid.uuid4().hex
+    pair = F.from_json(F.concat(F.lit("["), line, F.lit(f',"{mark}"]')), "array<string>", {"allowSingleQuotes": "false"})
+    return (F.size(pair) == 2) & (F.get(pair, F.lit(1)) == mark)
+
+
+def _lines(spark: SparkSession, path: str) -> DataFrame:
+    """(seq, linea) of the lines that are not blank, of a log file and the segments beside it."""
+    segments = f"{path.rsplit('/', 1)[0]}/{SEGMENT_DIR}"
+    there = [p for p in (path, segments) if path_exists(spark, p)]
+    if not there:
         return spark.createDataFrame([], "seq struct<archivo:string,bloque:long,fila:long>, linea string")
-    raw = spark.read.text(path)
+    raw = spark.read.option("recursiveFileLookup", "true").text(there)
     seq = F.struct(F.col("_metadata.file_path").alias("archivo"), F.col("_metadata.file_block_start").alias("bloque"), F.monotonically_increasing_id().alias("fila"))
-    lines = raw.select(seq.alias("seq"), py_strip(F.col("value")).alias("linea")).where(F.col("linea") != "")
-    good = canonical_line(F.col("linea")).isNotNull()
+    return raw.select(seq.alias("seq"), py_strip(F.col("value")).alias("linea")).where(F.col("linea") != "")
+
+
+def _refused(what: str) -> Column:
+    return F.raise_error(F.concat(F.lit(f"{what} at "), F.to_json("seq")))
+
+
+def read_log(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
+    """(seq, linea) of every line that is not blank, wholly inside the JVM.
+
+    seq is a sortable place (file, block, row in block), so reading in order
+    needs no shuffle; segments come after the log file, in order of number.
+    ``strict`` makes a line that is no JSON an error when it is read, naming
+    its place; otherwise such lines are left out.  A missing log has no lines.
+    """
+    lines, good = _lines(spark, path), _one_json(F.col("linea"))
     if not strict:
         return lines.where(good)
-    return lines.select("seq", F.when(good, F.col("linea")).otherwise(F.raise_error(F.concat(F.lit("no JSON in the log at "), F.to_json("seq")))).alias("linea"))
+    return lines.select("seq", F.when(good, F.col("linea")).otherwise(_refused("no JSON in the log")).alias("linea"))
 
 
 def canonical_log(spark: SparkSession, path: str) -> DataFrame:
-    """(seq, line_sha, event): every event in canonical form, whatever the spacing and key order of its line."""
-    rows = read_log(spark, path).select("seq", canonical_line(F.col("linea")).alias("event"))
+    """(seq, line_sha, event): every event in canonical form, whatever the spacing and key order of its line; parsed once."""
+    rows = _lines(spark, path).select("seq", canonical_line(F.col("linea")).alias("event"))
+    rows = rows.select("seq", F.coalesce("event", _refused("no JSON in the log")).alias("event"))
     return rows.select("seq", line_sha(F.col("event")).alias("line_sha"), "event")
 
 
 class EventStore:
     """Append and put only: nothing here changes or deletes what is stored.
 
-    One process writes a store.  Reading for queries goes through Spark
-    (:meth:`log`, :meth:`snapshots`).
+    One process at a time writes a store, through its driver (:meth:`append`,
+    :meth:`put_snapshot`) or with many tasks (:meth:`append_frame`,
+    :meth:`put_snapshots`); ``root`` must then be on storage all share.
+    Reading for queries goes through Spark.
     """
 
     def __init__(self, root: str, clock: Callable[[], str] | None = None):
         self.root = os.path.abspath(root)
-        self.clock = clock or (lambda: datetime.now().strftime(ISO))
+        self.clock = clock or now
         self.log_path = log_path(root)
+        self.segments = os.path.join(os.path.dirname(self.log_path), SEGMENT_DIR)
         self.snapshot_dir = os.path.join(self.root, SNAPSHOT_DIR)
         for d in (os.path.dirname(self.log_path), self.snapshot_dir):
             os.makedirs(d, exist_ok=True)
 
+    def _next_segment(self) -> str:
+        numbers = [int(n) for n in os.listdir(self.segments) if n.isdigit()] if os.path.isdir(self.segments) else []
+        return os.path.join(self.segments, f"{max(numbers, default=0) + 1:012d}")
+
     def append(self, events: Iterable[dict]) -> list[dict]:
         """Adds events in order in one write; ``ts`` is set only where the key is missing."""
         out = [e if "ts" in e else {**e, "ts": self.clock()} for e in events]
         if out:
-            with open(self.log_path, "a", encoding="utf-8") as f:
+            target = self.log_path
+            if os.path.isdir(self.segments):  # what comes later must be read later
+                folder = self._next_segment()
+                os.makedirs(folder)
+                target = os.path.join(folder, "part-00000.txt")
+            with open(target, "a", encoding="utf-8") as f:
                 f.write("".join(line_form(e) + "\n" for e in out))
         return out
 
     def append_event(self, event: dict) -> dict:
         return self.append([event])[0]
 
+    def append_frame(self, events: DataFrame, *order: str) -> int:
+        """Adds ``evento`` (JSON) of every row, ordered by ``order``, as one segment written by all tasks; the number of lines.
+
+        ``ts`` is the time of the call where an event has none.  The segment
+        appears whole or not at all.
+        """
+        spark, ts = events.sparkSession, F.lit(json.dumps({"ts": self.clock()})[1:-1])
+        body = F.col("evento")
+        dated = F.when(F.array_contains(F.json_object_keys(body), "ts"), body).otherwise(F.concat(F.lit("{"), ts, F.when(F.size(F.json_object_keys(body)) > 0, F.lit(", ")).otherwise(F.lit("")), F.regexp_replace(body, r"^\s*\{", "")))
+        target = self._next_segment()
+        temporary = os.path.join(self.segments, f".{os.path.basename(target)}")
+        rows = events.select(*order, dated.alias("evento")).repartitionByRange(*order).sortWithinPartitions(*order)
+        rows.select(canonical_line(F.col("evento")).alias("value")).write.mode("overwrite").text(temporary)
+        n = spark.read.text(temporary).count()
+        if n:
+            os.replace(temporary, target)
+        else:
+            fs, p = file_system(spark, temporary)
+            fs.delete(p, True)
+        return n
+
     def put_snapshot(self, data: bytes) -> str:
         """Stores bytes under their hash unless they are there; appears whole or not at all."""
         name = sha256(data).hexdigest()
@@ -84,6 +149,21 @@ class EventStore:
             os.replace(f.name, target)
         return name
 
+    def put_snapshots(self, contents: DataFrame) -> DataFrame:
+        """(content_hash, nueva) of each different ``content`` (binary), written by the tasks that hold it; bytes that are there are not sent anywhere."""
+        hashed = contents.where(F.col("content").isNotNull()).select(content_hash(F.col("content")).alias("content_hash"), "content").dropDuplicates(["content_hash"])
+        known = self.snapshots(contents.sparkSession).withColumn("_there", F.lit(True))
+        marked = hashed.join(known, "content_hash", "left")
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for data in b.column(1):
+                    self.put_snapshot(data.as_py())
+                yield b.select(["content_hash"])
+
+        new = marked.where(F.col("_there").isNull()).select("content_hash", "content").mapInArrow(run, "content_hash string").withColumn("nueva", F.lit(True))
+        return new.unionByName(marked.where(F.col("_there")).select("content_hash", F.lit(False).alias("nueva")))
+
     def has_snapshot(self, name: str) -> bool:
         return os.path.exists(os.path.join(self.snapshot_dir, name))
 
@@ -92,9 +172,10 @@ class EventStore:
             return f.read()
 
     def iter_events(self) -> Iterable[dict]:
-        """Events one by one on the driver, for small stores and tools; queries use :meth:`log`."""
-        if os.path.exists(self.log_path):
-            with open(self.log_path, encoding="utf-8") as f:
+        """Events one by one on the driver, for tools on small stores; queries use :meth:`log`."""
+        parts = [os.path.join(at, n) for at, _, names in os.walk(self.segments) for n in names if n.startswith("part-")]
+        for path in [p for p in (self.log_path,) if os.path.exists(p)] + sorted(parts):
+            with open(path, encoding="utf-8") as f:
                 yield from (json.loads(line) for line in f if line.strip())
 
     def log(self, spark: SparkSession, strict: bool = True) -> DataFrame:
@@ -106,10 +187,11 @@ class EventStore:
 
     def snapshots(self, spark: SparkSession) -> DataFrame:
         """(content_hash) of every stored snapshot, from a listing alone."""
-        files = spark.read.format("binaryFile").load(self.snapshot_dir)
-        return files.select(F.element_at(F.split("path", "/"), -1).alias("content_hash"))
+        return self.snapshot_contents(spark).select("content_hash")
 
     def snapshot_contents(self, spark: SparkSession) -> DataFrame:
         """(content_hash, content)."""
         files = spark.read.format("binaryFile").load(self.snapshot_dir)
-        return files.select(F.element_at(F.split("path", "/"), -1).alias("content_hash"), "content")
+        named = files.select(F.element_at(F.split("path", "/"), -1).alias("content_hash"), "content")
+        empty = sha256(b"").hexdigest()  # a file without bytes is in no split
+        return named.unionByName(spark.createDataFrame([(empty, b"")], "content_hash string, content binary")) if self.has_snapshot(empty) else named

@@ -1,5 +1,7 @@
 import hashlib
+from urllib.parse import parse_qsl, urlsplit
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -24,7 +26,7 @@ def test_white_space(spark):
 def test_hashes_and_triggers(spark):
     values = [None, "", " sha256:AB ", "AB", "a:b:c", ":", "MATERIALIZAR", "\tx"]
     assert column(spark, values, text.norm_hash) == [document.bare_hash(v) for v in values]
-    assert column(spark, values, text.is_pending) == [document.pending({"content_hash": v}) for v in values]
+    assert column(spark, values, text.is_pending) == [v in (None, "", "MATERIALIZAR") for v in values]
     assert column(spark, ["explicito:x", "implicito-de:", "Explicito:", None, ""], text.gatillo_ok) == [True, True, False, False, False]
 
 
@@ -56,6 +58,23 @@ def test_canonical_url_like_the_library(spark, tails):
     assert column(spark, urls, text.canonical_url) == [document.canonical(u) for u in urls]
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.text("ab/?&=#%+2~*é.:@AZ_", max_size=25))
+def test_one_canonical_url_keeps_what_it_names(tail):
+    before, after = urlsplit("http://H.test/" + tail), urlsplit(document.canonical("http://H.test/" + tail))
+    assert (after.scheme, after.hostname, after.port, after.fragment) == ("https", "h.test", None, "")
+    kept = parse_qsl(after.query, keep_blank_values=True)
+    assert kept == sorted(kept) and set(kept) <= set(parse_qsl(before.query, keep_blank_values=True))
+    assert len(kept) == len([k for k, _ in parse_qsl(before.query, keep_blank_values=True) if not k.lower().startswith("utm_") and k.lower() not in text.TRACKING_NAMES])
+    assert after.path == ("/" + before.path.strip("/") if before.path.strip("/") else "/") or after.path == before.path.rstrip("/")
+
+
+@pytest.mark.parametrize("url", ["http://h:99999/", "http://h:x/", "http://h:-1/"])
+def test_one_url_with_a_bad_port_is_refused(url):
+    with pytest.raises(ValueError, match="no port"):
+        document.canonical(url)
+
+
 def test_json_forms():
     value = {"b": [1.0, "é"], "a": None}
     assert line_form(value) == '{"a": null, "b": [1.0, "é"]}'
