@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,9 +11,11 @@ from pyspark.sql import functions as F
 from ..functions import canonical, text
 from ..operators import claims
 from ..operators.skew import salted_lookup
-from ..session import materialize, read
+from ..session import materialize, new_path, read, shuffle_partitions
+from ..sources import grains
+from ..sources.store import LOG_NAME, read_log
 from .found import REFERENCES
-from .projection import COLUMNS, KINDS
+from .projection import COLUMNS, KINDS, rebuild
 
 
 def _first(spark: SparkSession, d: str, table: str, *columns: str) -> DataFrame:
@@ -163,6 +166,70 @@ def export_log_upsert(spark: SparkSession, d: str) -> DataFrame:
     return claims.upsert_new(lines.select("line_sha", "event"), lines.where(F.col("seq") <= half).select("line_sha"))
 
 
+def _stored_log(spark: SparkSession, d: str) -> str:
+    """The log tables as a log of JSON lines in log order: part files whose names sort as their lines do."""
+    lines, path = _log_lines(spark, d).select("seq", "event"), new_path(spark, "log")
+    lines.repartitionByRange(shuffle_partitions(spark), "seq").sortWithinPartitions("seq").select("event").write.text(f"{path}/log/{LOG_NAME}")
+    return f"{path}/log/{LOG_NAME}"
+
+
+def log_scan(spark: SparkSession, d: str) -> DataFrame:
+    """Lines and distinct ids of each kind, by reading the log itself."""
+    log = read_log(spark, _stored_log(spark, d)).select(F.get_json_object("linea", "$.ev").alias("ev"), F.get_json_object("linea", "$.id").alias("id"))
+    ids = log.groupBy("ev", "id").agg(F.count(F.lit(1)).alias("n"))
+    return ids.groupBy("ev").agg(F.sum("n").alias("lineas"), F.count("id").alias("ids"))
+
+
+def rebuild_dump(spark: SparkSession, d: str) -> DataFrame:
+    """The seven tables rebuilt from the log itself; without the two JSON columns, whose canonical form SQL cannot state."""
+    tables = rebuild(read_log(spark, _stored_log(spark, d)))
+    return claims.dump({t: df.drop("busqueda", "resultados_crudos") for t, df in tables.items()})
+
+
+#: The key the documents made from the table grano stand under.
+GRAIN_ROOT = "grano"
+
+
+def _grains(spark: SparkSession, d: str) -> DataFrame:
+    """(path, texto): each row of grano as a document in JSON, its seq as the path; consultas as it is stored, null and '' for none."""
+    g = read(spark, d, "grano", "seq", "session_id", "schema_version", "consolidado_por", "project", "consultas")
+    meta = F.to_json(F.struct("session_id", "schema_version", "consolidado_por", "project"))
+    tree = F.coalesce(F.nullif("consultas", F.lit("")), F.lit("[]"))
+    return g.select(F.lpad(F.col("seq").cast("string"), 20, "0").alias("path"), F.concat(F.lit(f'{{"{GRAIN_ROOT}": {{"meta": '), meta, F.lit(', "consultas": '), tree, F.lit("}}")).alias("texto"))
+
+
+def _grain_events(spark: SparkSession, d: str) -> DataFrame:
+    return grains.derived_events(_grains(spark, d), GRAIN_ROOT, json.loads)
+
+
+def grain_events(spark: SparkSession, d: str) -> DataFrame:
+    """The events every stored grain gives, with deterministic ids; a tree that is none of a document gives none."""
+    return _grain_events(spark, d).where(F.col("id").isNotNull()).select(F.col("path").cast("long").alias("seq"), "pos", "id", "ev")
+
+
+def grain_lint(spark: SparkSession, d: str) -> DataFrame:
+    """What stands against each grain, counted by rule."""
+    found = grains.lint(_grains(spark, d), _snapshots(spark, d), GRAIN_ROOT, json.loads)
+    return found.groupBy(F.col("path").cast("long").alias("seq"), "regla").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _grains_and_log(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The events of all grains, and as the log's ids those of the grains up to the end of 2023."""
+    events, _ = materialize(_grain_events(spark, d), "grains")
+    early = read(spark, d, "grano", "seq", "ts").where(F.col("ts") < "2024").select(F.lpad(F.col("seq").cast("string"), 20, "0").alias("path"))
+    return events, events.join(early, "path", "left_semi").select("id")
+
+
+def grain_states(spark: SparkSession, d: str) -> DataFrame:
+    """How much of each grain the log has."""
+    return grains.states_of(*_grains_and_log(spark, d)).select(F.col("path").cast("long").alias("seq"), "session_id", "estado", "total", "presentes")
+
+
+def grain_ingest(spark: SparkSession, d: str) -> DataFrame:
+    """The events ingesting all grains would add to that log, each id once, from the first grain that has it."""
+    return grains.fresh_events(*_grains_and_log(spark, d)).select("id", "ev", F.col("path").cast("long").alias("seq"), "pos")
+
+
 def lint_inferences(spark: SparkSession, d: str) -> DataFrame:
     """Premises that are blank or null, of every stored row."""
     return read(spark, d, "inscripcion", "seq", "premisa").select("seq", text.is_blank(F.col("premisa")).alias("sin_premisa"))
@@ -246,5 +313,5 @@ QUERIES = (
     current_version, first_write_wins, first_capture, orphans, unsafe_claims, trace_up, pinned_versions, load_bearing, missing_events, consumption_state,
     consumption_gate, divergence, divergence_rounded, preflight, preflight_counts, snapshot_dedup, export_lines, export_upsert, lint_inferences, lint_triplets, lint_needs,
     lint_versions, lint_times, lint_schema, integrity, canonical_json, canonical_urls, det_ids, content_hashes, assert_bag, log_counts, dump_tables,
-    dump_projection, export_log_lines, export_log_upsert, missing_log_events,
+    dump_projection, log_scan, rebuild_dump, grain_events, grain_lint, grain_states, grain_ingest, export_log_lines, export_log_upsert, missing_log_events,
 )

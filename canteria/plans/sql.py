@@ -2,7 +2,8 @@ r"""The queries in DuckDB's SQL, for those SQL can express."""
 
 from __future__ import annotations
 
-from .found import REFERENCES
+from ..operators.flatten import Level
+from .found import JSON_LEVELS, REFERENCES
 from .projection import COLUMNS, KINDS
 
 _W = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\p{Z}]"
@@ -67,6 +68,89 @@ def _words(x: str) -> str:
     return f"list_distinct(list_filter(string_split_regex(lower({x}), '{_W}+'), lambda w: w <> ''))"
 
 
+def _iso(x: str) -> str:
+    """Is a text one that Python's two ISO readers take?"""
+    time = r"[01]\d|2[0-3]"
+    part = r"(?:[0-5]\d)"
+    clock = rf"(?:{time})(?::{part}(?::{part}(?:[.,]\d+)?)?|{part}(?:{part}(?:[.,]\d+)?)?)?"
+    zone = rf"(?:Z|[+-](?:{time})(?::?{part}(?::?{part}(?:[.,]\d+)?)?)?)?"
+    rest = rf"(?:[\s\S]{clock}{zone})?$"
+    t = _strip(x)
+    loose = rf"^(\d{{4}})-(\d{{1,2}})-(\d{{1,2}})T(?:{time}|\d):(?:[0-5]?\d):(?:[0-5]?\d)$"
+    day = "try_cast({0} || '-' || lpad({1}, 2, '0') || '-' || lpad({2}, 2, '0') as date) is not null"
+    by_day = rf"^(\d{{4}})(?:-(\d\d)-(\d\d)|(\d\d)(\d\d)){rest}"
+    by_week = rf"^(\d{{4}})(?:-W(\d\d)(?:-[1-7])?|W(\d\d)[1-7]?){rest}"
+
+    def group(pattern: str, k: int) -> str:
+        return f"regexp_extract({t}, '{pattern}', {k})"
+
+    weeks = f"case when isodow(try_cast({group(by_week, 1)} || '-12-31' as date)) = 4 or isodow(try_cast({group(by_week, 1)} || '-01-01' as date)) = 4 then 53 else 52 end"
+    return f"""coalesce((regexp_matches({t}, '{loose}') and {day.format(group(loose, 1), group(loose, 2), group(loose, 3))})
+      or (regexp_matches({t}, '{by_day}') and {day.format(group(by_day, 1), f"({group(by_day, 2)} || {group(by_day, 4)})", f"({group(by_day, 3)} || {group(by_day, 5)})")})
+      or (regexp_matches({t}, '{by_week}') and try_cast({group(by_week, 2)} || {group(by_week, 3)} as int) between 1 and {weeks}), false)"""
+
+
+_EMPTY = "('[]', '{}', '\"\"', 'null', 'false', '0')"
+
+
+def _elements(x: str) -> str:
+    """The list a JSON value stands for where an array is expected."""
+    inner = f"json_extract_string({x}, '$')"
+    boxed = rf"json_type({x}) = 'VARCHAR' and regexp_matches({inner}, '^[ \t\n\r]*[\[{{]') and json_valid({inner})"
+    return f"""case when {x} is null then null when json_type({x}) = 'ARRAY' then json_extract({x}, '$[*]') when {boxed} and json_type({inner}) = 'ARRAY' then json_extract(cast({inner} as json), '$[*]')
+      when {boxed} then [cast({inner} as json)] else [cast({x} as json)] end"""
+
+
+def _flat(table: str, column: str, level: Level) -> str:
+    """Rows of one JSON column, level by level."""
+    parts, ctes, todo = [], [f"t0 as (select seq, '' ruta, cast({column} as json) x from {table} where json_valid({column}))"], [("t0", level)]
+    while todo:
+        above, lv = todo.pop()
+        name = f"e{len(ctes)}"
+        ctes.append(f"""{name} as (select seq, ruta || i as ruta, x from (select seq, ruta, unnest(l) x, generate_subscripts(l, 1) - 1 i from (select seq, ruta, {_elements("x")} l from {above})) where json_type(x) <> 'NULL')""")
+        value = "json_extract_string(x, '$')" if lv.valor is None else f"case json_type(x) when 'OBJECT' then coalesce(json_extract_string(x, '$.{lv.valor}'), '') when 'ARRAY' then '' else json_extract_string(x, '$') end"
+        parts.append(f"select '{lv.tipo}' tipo, seq, ruta, {value} valor from {name}")
+        for member, below in lv.below.items():
+            inside = f"m{len(ctes)}"
+            ctes.append(f"{inside} as (select seq, ruta || '.' as ruta, json_extract(x, '$.{member}') x from {name} where json_type(x) = 'OBJECT')")
+            todo.append((inside, below))
+    return f"(with {', '.join(ctes)} {' union all '.join(parts)})"
+
+
+# Documents of the table grano: what stands in consultas, whether its tree is one of a document, and the events it gives.
+def _grains(lint: bool = False) -> str:
+    """CTEs k (seq, sid, mala), q (seq, i, f) and r (seq, i, j, ...) of every document; a reference needs a URL or a referent unless only linted."""
+    named = "false" if lint else "coalesce(r ->> 'referente_id', '') = '' and r ->> 'url' is null"
+    return f"""g as (select seq, coalesce(session_id, '') sid, schema_version, ts, coalesce(nullif(consultas, ''), '[]') t from grano),
+      j as (select *, case when json_valid(t) then cast(t as json) end x from g),
+      qq as (select seq, unnest(json_extract(x, '$[*]')) q, generate_subscripts(json_extract(x, '$[*]'), 1) i from j where json_type(x) = 'ARRAY'),
+      rl as (select seq, i, q, q -> 'referencias' l from qq where json_type(q) = 'OBJECT'),
+      rr as (select seq, i, unnest(json_extract(l, '$[*]')) r, generate_subscripts(json_extract(l, '$[*]'), 1) k from rl where json_type(l) = 'ARRAY'),
+      malas as (select seq from j where x is null or (json_type(x) <> 'ARRAY' and cast(x as varchar) not in {_EMPTY}) union select seq from qq where json_type(q) <> 'OBJECT'
+        union select seq from rl where l is not null and json_type(l) <> 'ARRAY' and cast(l as varchar) not in {_EMPTY} union select seq from rr where json_type(r) <> 'OBJECT' or ({named})),
+      k as (select *, seq in (select seq from malas) mala from g),
+      q as (select seq, i, q ->> 'formulacion' f from rl), r as (select seq, i, k, r ->> 'url' url, r ->> 'referente_id' referente, r ->> 'content_hash' h, r ->> 'capture_ts' c from rr)"""
+
+
+def _grain_events() -> str:
+    nec = "sha256(concat_ws(chr(31), sid, 'nec', '', ''))"
+    urls = canonical("(select seq, i, k, url from r)", "url", "seq, i, k")
+    return f"""with {_grains()}, u as ({urls}),
+      e as (select seq, 0 i, 0 k, 'necesidad' ev, {nec} id from k where not mala
+        union all select seq, i, 0, 'consulta', sha256(concat_ws(chr(31), sid, 'consulta', {nec}, coalesce(f, ''))) from q join k using (seq) where not mala
+        union all select seq, i, r.k, 'referencia', sha256(concat_ws(chr(31), 'ref', coalesce(nullif(referente, ''), u.url, 'https:/'), {_norm("h")}, coalesce(c, ''))) from r join k using (seq) left join u using (seq, i, k) where not mala)
+      select seq, cast(row_number() over (partition by seq order by i, k) - 1 as int) pos, id, ev from e"""
+
+
+def _grain_lint() -> str:
+    hashes = f"select content_hash from {_SNAPSHOTS}"
+    return f"""with {_grains(lint=True)}, f as (select seq, 'YAML' regla from k where mala union all select seq, 'C1' from k where not mala and coalesce(schema_version, '') <> 'aec-1'
+        union all select seq, 'C6' from k, (values (1), (2)) twice where not mala
+        union all select seq, 'C3' from r join k using (seq) where not mala and {_norm("h")} not in ({hashes})
+        union all select seq, 'C5' from r join k using (seq) where not mala and not {_iso("c")})
+      select seq, regla, count(*) n from f group by all"""
+
+
 _SNAPSHOTS = "(select distinct content_hash from version where equipo in ('nube-a', 'mx-nodo-1') and content_hash is not null)"
 _STATE = "(select q_id, count(*) total, count(u.id) presentes from version v left join (select distinct ref_id id from afirmacion where ref_id is not null) u using (id) group by q_id)"
 _STATES = f"(select q_id, total, presentes, case when presentes = 0 then 'NO-CONSUMIDO' when presentes = total then 'CONSUMIDO' else 'PARCIAL' end estado from {_STATE})"
@@ -76,8 +160,8 @@ _PREFLIGHT = f"""(select id, load_bearing, estado, case when estado in ('OK', 'Y
    from {_first("version")} v left join (select distinct ref_id id from afirmacion where ref_id is not null and ref_id <> '') u on u.id = v.id))"""
 
 
-def _dumped(table: str, source: str) -> str:
-    fields = ", ".join(f"'{c}': coalesce({c}, chr(0))" for c in sorted(COLUMNS[table]))
+def _dumped(table: str, source: str, but: tuple[str, ...] = ()) -> str:
+    fields = ", ".join(f"'{c}': coalesce({c}, chr(0))" for c in sorted(COLUMNS[table]) if c not in but)
     return f"select '{table}' tabla, cast(to_json({{{fields}}}) as varchar) fila from {source}"
 
 
@@ -107,6 +191,9 @@ ORACLES = {
       (select r.seq, r.huella, {_words("f.base")} x, {_words("r.conclusion")} y from inscripcion r join
         (select huella, arg_min_null(conclusion, seq) base, min(seq) primera from inscripcion where huella is not null group by huella) f using (huella)
        where r.seq > f.primera and f.base is not null and r.conclusion is not null)""",
+    # Shares that are whole sixteenths are the ones that lie halfway between two of three digits exactly.
+    "divergence_rounded": """select seq, huella, case when (s * 16) % 1 = 0 then round_even(s, 3) else round(s, 3) end similitud, case when (s * 16) % 1 = 0 then round_even(1 - s, 3) else round(1 - s, 3) end divergencia
+      from (select seq, huella, case when todas = 0 then 1.0::double else comunes / todas end s from (DIVERGENCE))""",
     "preflight": f"select id, load_bearing, estado, severidad from {_PREFLIGHT}",
     "preflight_counts": f"select count(*) filter (where severidad = 'BLOQUEANTE') bloqueantes, count(*) filter (where severidad = 'AVISO') avisos, count(*) filter (where estado = 'OK') ok, count(*) filter (where estado = 'YA') ya from {_PREFLIGHT}",
     "snapshot_dedup": "select distinct sha256(text) content_hash from documents where text is not null",
@@ -123,9 +210,22 @@ ORACLES = {
     "content_hashes": "select doc_id, sha256(text) content_hash from documents",
     "assert_bag": "select id, referente_a, referente_b, relacion, gatillo, ts from referente_assert",
     "log_counts": " union all ".join(f"select '{t}' tabla, count(*) filas, count(distinct id) ids from {t}" for t in ("version", "inscripcion", "necesidad", "consulta", "afirmacion", "referente_assert")),
+    "p4_found": " union all ".join(f"select * from {_flat(t, c, level)}" for t, c, level in JSON_LEVELS),
+    "lint_times": f"select seq, {_iso('capture_ts')} iso_ok from version",
+    "log_scan": " union all ".join(f"select '{k}' ev, count(*) lineas, count(distinct id) ids from {t}" for k, (t, _, _) in KINDS.items()),
+    "rebuild_dump": " union all ".join(_dumped(t, {"referente": _CAPTURES, "referente_assert": t}.get(t) or _first(t), ("busqueda", "resultados_crudos")) for t in COLUMNS),
+    "grain_events": _grain_events(),
+    "grain_lint": _grain_lint(),
+    "grain_states": f"""with e as ({_grain_events()}), d as (select seq, seq in (select seq from e) any_event, coalesce(session_id, '') session_id, ts from grano),
+        there as (select distinct id from e join d using (seq) where ts < '2024'),
+        n as (select seq, count(*) total, count(there.id) presentes from e left join there using (id) group by seq)
+      select seq, case when any_event then session_id else '' end session_id, case when not any_event then 'ERROR' when presentes = 0 then 'NO-CONSUMIDO' when presentes = total then 'CONSUMIDO' else 'PARCIAL' end estado, coalesce(total, 0) total, coalesce(presentes, 0) presentes from d left join n using (seq)""",
+    "grain_ingest": f"""with e as ({_grain_events()}), there as (select id from e join grano using (seq) where ts < '2024')
+      select id, arg_min(ev, [seq, pos]) ev, min([seq, pos])[1] seq, cast(min([seq, pos])[2] as int) pos from e where id not in (select id from there) group by id""",
     "dump_tables": """select 'equipo' tabla, cast(to_json({'equipo': equipo, 'orden_fecha': orden_fecha, 'zona': zona}) as varchar) fila from equipo
       union all select 'envase', cast(to_json({'capacidad': cast(capacidad as varchar), 'envase': envase}) as varchar) from envase
       union all select 'mezcla', cast(to_json({'max_rep': cast(max_rep as varchar), 'peso': cast(peso as varchar), 'source': source}) as varchar) from mezcla""",
     "dump_projection": " union all ".join(_dumped(t, {"referente": _CAPTURES, "referente_assert": t}.get(t) or _first(t)) for t in COLUMNS),
     "missing_log_events": f"select * from ({' union all '.join(f"select '{t}' tabla, '{c}' campo, {c} id, seq from {t} where {c} is not null" for t, c, _ in REFERENCES)}) where id not in ({_LOG_IDS})",
 }
+ORACLES["divergence_rounded"] = ORACLES["divergence_rounded"].replace("DIVERGENCE", ORACLES["divergence"])
