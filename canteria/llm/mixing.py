@@ -4,7 +4,8 @@ The texts of each source, laid end to end, are cut into blocks of a fixed
 number of tokens.  Each output shard draws how many blocks it takes from each
 source; the draws of a source count its slots, a keyed permutation of its
 block numbers per pass turns slots into blocks, and blocks are joined by
-source and number.
+source and number.  Draws and permutations are functions of a seed and a
+number, so each task makes those of its own shards.
 """
 
 from __future__ import annotations
@@ -23,8 +24,8 @@ from ..session import materialize, shuffle_partitions
 
 BLOCK_TOKENS = 512
 SHARD_BLOCKS = 1024
-#: Most shards that are drawn on the driver; beyond, shards are larger.
-MOST_SHARDS = 100_000
+#: Beyond so many blocks numpy has no exact draw without replacement.
+EXACT_BLOCKS = 1_000_000_000
 SEED = 20_240_607
 
 
@@ -75,25 +76,39 @@ def quotas(tokens: dict[str, int], weights: dict[str, tuple[float, int]], total:
         fixed |= over
 
 
-def draw_counts(quota: dict[str, int], shard_blocks: int, seed: int) -> np.ndarray:
-    """Blocks per shard (row) and source (column, in the order of ``quota``).
-
-    Multinomial draws by what is still to be taken; where a draw passes what
-    is left of a source the surplus is drawn again among the others, so the
-    columns add up to the quotas exactly.
+def _split(left: np.ndarray, size: int, rng: np.random.Generator) -> np.ndarray:
+    """How many of ``left`` blocks of each source fall among the first ``size`` of all of them."""
+    total = int(left.sum())
+    if total < EXACT_BLOCKS:
+        return rng.multivariate_hypergeometric(left, size, method="marginals")
+    out, room, rest = np.zeros(len(left), np.int64), size, total
+    for k in np.argsort(left, kind="stable"):  # the rarest first, so that the commonest takes up what is over
+        rest -= int(left[k])
+        drawn = int(rng.binomial(int(left[k]), room / (rest + int(left[k])))) if room else 0
+        out[k] = min(max(drawn, room - rest), room, int(left[k]))
+        room -= int(out[k])
+    return out
+
+
+def draw_counts(quota: np.ndarray, shard_blocks: int, shard: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """(blocks of each source in a shard, those in all shards before it).
+
+    A multinomial draw under the condition that all shards together take each
+    source's quota exactly.  The shards are halved again and again; at each
+    halving the counts are drawn that fall to the left half, by a generator
+    keyed with the place of the halving.  So a shard's draw costs a logarithm
+    of their number, needs no other shard's, and is the same wherever it is made.
     """
-    left = np.array(list(quota.values()), np.int64)
-    rng, rows = np.random.default_rng(seed), []
-    while len(left) and left.sum():
-        size, row = min(shard_blocks, int(left.sum())), np.zeros(len(left), np.int64)
-        while size:
-            p = left / left.sum()
-            got = np.minimum(rng.multinomial(size, p), left)
-            row += got
-            left -= got
-            size -= int(got.sum())
-        rows.append(row)
-    return np.array(rows, np.int64).reshape(len(rows), len(quota))
+    quota, before = np.asarray(quota, np.int64), np.zeros(len(quota), np.int64)
+    begin, end = 0, -(-int(quota.sum()) // shard_blocks)
+    while end - begin > 1:
+        middle = (begin + end) // 2
+        left = _split(quota, (middle - begin) * shard_blocks, np.random.default_rng([seed, begin, end]))
+        if shard < middle:
+            quota, end = left, middle
+        else:
+            quota, before, begin = quota - left, before + left, middle
+    return quota, before
 
 
 def _local_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,16 +166,13 @@ def mix(lengths: DataFrame, weights: dict[str, tuple[float, int]], total_tokens:
     wanted = quotas(totals, weights, total_tokens, strict)
     quota = {s: min(blocks[s] * weights[s][1], round(wanted[s] * blocks[s] / totals[s])) for s in sorted(wanted)}
     quota = {s: n for s, n in quota.items() if n}
-    shard_blocks = max(SHARD_BLOCKS, math.ceil(sum(quota.values()) / MOST_SHARDS))
-    counts = draw_counts(quota, shard_blocks, seed)
-    names, sizes = list(quota), [blocks[s] for s in quota]
-    starts = np.cumsum(counts, axis=0) - counts
-    plan = pd.DataFrame({"lote": np.arange(len(counts)), "n": counts.tolist(), "desde": starts.tolist()})
-    shards = spark.createDataFrame(plan, "lote long, n array<long>, desde array<long>") if len(plan) else spark.createDataFrame([], "lote long, n array<long>, desde array<long>")
+    names, sizes, wants = list(quota), [blocks[s] for s in quota], np.array(list(quota.values()), np.int64)
+    shards = spark.range(-(-int(wants.sum()) // SHARD_BLOCKS), numPartitions=shuffle_partitions(spark)).withColumnRenamed("id", "lote")
 
     def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for lote, n, desde in zip(*(c.to_pylist() for c in b.columns)):
+            for lote in b.column(0).to_pylist():
+                n, desde = draw_counts(wants, SHARD_BLOCKS, lote, seed)
                 which, block = [], []
                 for k, size in enumerate(sizes):
                     slot = desde[k] + np.arange(n[k])
@@ -173,7 +185,7 @@ def mix(lengths: DataFrame, weights: dict[str, tuple[float, int]], total_tokens:
                 place = np.random.default_rng([seed, lote]).permutation(len(block))
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(block), lote)), pa.array(place), pa.array(names).take(pa.array(which)), pa.array(block)], names=["lote", "posicion", "source", "bloque"])
 
-    taken = shards.repartition(shuffle_partitions(spark), "lote").mapInArrow(slots, "lote long, posicion long, source string, bloque long")
+    taken = shards.mapInArrow(slots, "lote long, posicion long, source string, bloque long")
     first, last = F.floor(F.col("inicio") / block_tokens), F.floor((F.col("inicio") + F.col("tokens") - 1) / block_tokens)
     spread = stream.select("source", "doc_id", "tokens", "inicio", F.explode(F.sequence(first, last)).alias("bloque"))
     begin = F.greatest(F.col("inicio"), F.col("bloque") * block_tokens)

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import base64
 import os
-import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -18,8 +17,8 @@ VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
 # Fixed value: how this family of vocabularies cuts text before merging.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: A single piece of that cut, not white space, longer than this is cut again there, as merging costs more than its length.
-LONGEST_RUN = 20_000
+#: Runs of white space from this length on are cut out of the text first, where that pattern cuts them: its look-ahead overflows on very long ones.
+SPACE_RUN = 1000
 
 
 @lru_cache(maxsize=2)
@@ -31,29 +30,20 @@ def encoding(folder: str, name: str):
     return tiktoken.Encoding(name, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-_RUN = re.compile(r"\S{%d}" % LONGEST_RUN)
-#: The same cut; white space is named, as the two libraries differ on what \s holds.
-_PIECE = regex.compile(PATTERN.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}"))
+_SPACES = regex.compile(r"\p{White_Space}{%d,}" % SPACE_RUN)
 
 
 def count(text: str | None, enc) -> int:
-    """Tokens of a whole text; null has none.
-
-    Only a single piece of the tokenizer's own cut that is longer than
-    ``LONGEST_RUN`` is counted in parts of that length.
-    """
+    """Tokens of a whole text, as ``enc.encode_ordinary`` gives them; null has none."""
     if not text:
         return 0
-    if len(text) > LONGEST_RUN and _RUN.search(text):
-        pieces = _PIECE.findall(text)
-        if max(map(len, pieces)) > LONGEST_RUN:
-            return sum(_piece_count(p, enc) for p in pieces)
-    return len(enc.encode_ordinary(text))
-
-
-def _piece_count(piece: str, enc) -> int:
-    step = len(piece) if piece.isspace() else LONGEST_RUN
-    return sum(len(enc.encode_ordinary(piece[a : a + step])) for a in range(0, len(piece), step))
+    n, at = 0, 0
+    for m in _SPACES.finditer(text) if len(text) >= SPACE_RUN else ():
+        # One piece, but for the last character where more text follows: that one belongs to what follows.
+        end = m.end() - (m.end() < len(text))
+        n += len(enc.encode_ordinary(text[at : m.start()])) + len(enc._encode_single_piece(text[m.start() : end].encode()))
+        at = end
+    return n + len(enc.encode_ordinary(text[at:]))
 
 
 def with_lengths(docs: DataFrame, *keep: str, text: str = "text", folder: str = TOKENIZER_DIR, vocabulary: str = VOCABULARY) -> DataFrame:

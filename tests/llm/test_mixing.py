@@ -22,12 +22,30 @@ def test_quotas():
     assert mixing.quotas({}, {"a": (1.0, 1)}) == {}
 
 
-def test_draws_add_up_to_the_quotas():
-    quota = {"a": 5000, "b": 300, "c": 7}
-    counts = mixing.draw_counts(quota, 100, 3)
-    assert counts.sum(axis=0).tolist() == [5000, 300, 7] and (counts.sum(axis=1)[:-1] == 100).all()
+def all_draws(quota, shard_blocks, seed):
+    pairs = [mixing.draw_counts(quota, shard_blocks, k, seed) for k in range(-(-sum(quota) // shard_blocks))]
+    return np.array([n for n, _ in pairs]), np.array([b for _, b in pairs])
+
+
+@pytest.mark.parametrize("exact", [10**9, 0, 2000])
+def test_draws_add_up_to_the_quotas(monkeypatch, exact):
+    monkeypatch.setattr(mixing, "EXACT_BLOCKS", exact)
+    counts, before = all_draws([5000, 300, 7], 100, 3)
+    assert counts.sum(axis=0).tolist() == [5000, 300, 7] and (counts.sum(axis=1)[:-1] == 100).all() and (counts >= 0).all()
+    assert (before == np.cumsum(counts, axis=0) - counts).all()
     assert counts[:, 0].std() > 0.5  # drawn, not dealt out evenly
-    assert mixing.draw_counts({}, 100, 3).shape == (0, 0)
+    assert abs(counts[:-1, 1].mean() - 300 / 53.07) < 0.5
+
+
+def test_a_draw_of_very_many_shards_needs_no_other():
+    quota = np.array([6 * 10**13, 3 * 10**12, 5, 0])
+    shards = -(-int(quota.sum()) // mixing.SHARD_BLOCKS)
+    for shard in (0, 1, shards // 3, shards - 1):
+        (n, before), (_, following) = mixing.draw_counts(quota, mixing.SHARD_BLOCKS, shard, 1), mixing.draw_counts(quota, mixing.SHARD_BLOCKS, min(shard + 1, shards - 1), 1)
+        assert n.sum() == mixing.SHARD_BLOCKS or shard == shards - 1
+        assert shard == shards - 1 or (before + n == following).all()
+        assert (before + n <= quota).all()
+    assert (before + n == quota).all()
 
 
 def table(spark, docs):
