@@ -31,11 +31,13 @@ MONTHS = {
     "dec": 12, "december": 12, "dic": 12, "diciembre": 12,
 }
 
-# Weekdays before a date, English and Spanish. A short one has a comma after it: ``mar`` may be March.
-_WEEKDAY = (
+# Weekdays before a date, English and Spanish. ``mar`` may be March, so a short one has a comma, or a date with a named month, after it.
+_WEEKDAY = re.compile(
     r"(?:(?:monday|tuesday|wednesday|thursday|friday|saturday|sunday|lunes|martes|mi[eé]rcoles|jueves|viernes|s[aá]bado|domingo),?"
-    r"|(?:mon|tue|tues|wed|thu|thur|thurs|fri|sat|sun|lun|mar|mi[eé]|jue|vie|s[aá]b|dom)\.?,)\s*"
+    r"|(?:mon|tue|tues|wed|thu|thur|thurs|fri|sat|sun|lun|mar|mi[eé]|jue|vie|s[aá]b|dom)\.?(?:,|(?=\s+(?:\d{1,2}(?:\s+de)?[\s-]+[a-z]|[a-z]{3,10}\.?\s+\d))))\s*(?=[\da-z])"
 )
+#: Month, day, time and perhaps a zone before the year, as the C library writes them.
+_YEAR_LAST = re.compile(r"([a-z]{3,9}\s+\d{1,2})\s+(\d{1,2}:\d{2}(?::\d{2}(?:[.,]\d+)?)?)\s+(?:([a-z]{1,5}|[+-]\d{4})\s+)?(\d{4})")
 
 EPOCH = datetime(1970, 1, 1)
 _MICRO = timedelta(microseconds=1)
@@ -98,11 +100,11 @@ def _civil(kind: str, g: tuple, orden: str | None) -> date | None:
 
 def _offset_seconds(rest: str, wall: datetime, zona: str | None) -> int | None:
     """Offset from UTC that what stands after the time gives to a wall time."""
-    if rest in ("", None):
+    rest = re.sub(r"\s*\([^)]*\)$", "", rest)
+    if rest == "":
         return _zone_offset(wall, zona)
     if rest in ("z", "utc", "gmt", "zulu"):
         return 0
-    rest = re.sub(r"\s*\([^)]*\)$", "", rest)
     name = re.fullmatch(r"(.*?)\s*\[([^\]]+)\]", rest)
     if name:
         rest, bracket = name.groups()
@@ -164,7 +166,10 @@ def _calendar(text: str, zona: str | None, orden: str | None) -> int | None:
     if compact:
         text = f"{text[:8]}t{text[8:]}"
     else:
-        text = re.sub(f"^{_WEEKDAY}(?=[\\da-z])", "", text) if text[0].isalpha() else text
+        weekday = _WEEKDAY.match(text)
+        text = text[weekday.end() :] if weekday else text
+        last = _YEAR_LAST.fullmatch(text)
+        text = f"{last[1]} {last[4]} {last[2]} {last[3] or ''}" if last else text
     for kind, pattern in _DATES:
         m = pattern.match(text)
         if m:

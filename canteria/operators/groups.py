@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import canonical_url, is_blank, py_strip
 from ..session import materialize, materialize_with, release
+from . import skew
 from .skew import salted_lookup
 
 # The spellings that join two referents and those that part them.
@@ -55,18 +56,29 @@ def _jump(pointers: DataFrame, n: int) -> DataFrame:
 
 
 def _collapse(pointers: DataFrame, n: int) -> tuple[DataFrame, str]:
-    """Pointer doubling until every component points at its root; two doublings to a stored table."""
+    """Pointer doubling until every component points at its root; two doublings to a stored table while no key can be hot, else one."""
     spark = pointers.sparkSession
     now, path = materialize(pointers, "hook")
     while True:
-        twice = _jump(_jump(now, n).select("c", "p"), n)
-        nxt, new, seen = materialize_with(twice, "jump", moved=F.count_if("moved"))
+        ahead = _jump(now, n)
+        if n <= skew.HOT_ROWS:
+            ahead = _jump(ahead.select("c", "p"), n)
+        nxt, new, seen = materialize_with(ahead, "jump", moved=F.count_if("moved"))
         release(spark, path)
         now, path = nxt.select("c", "p"), new
         if not seen["moved"]:
             return now, path
 
 
+def _both_ends(edges: DataFrame, ends: tuple[str, str], lookup: DataFrame, names: tuple[str, str], n: int) -> DataFrame:
+    """``edges`` (a stored table) with what ``lookup`` (key, value) says of each end, in columns ``names``; rows per key are counted on the stored table."""
+    out = edges
+    for end, name in zip(ends, names):
+        right = lookup.select(F.col("key").alias(end), F.col("value").alias(name))
+        out = salted_lookup(out, right, [end], n, counts=edges.groupBy(end).agg(F.count(F.lit(1)).alias("_n")))
+    return out
+
+
 def connected_groups(links: DataFrame) -> DataFrame:
     """(grupo, miembro) for every name in ``links`` (a, b); grupo is the smallest member.
 
@@ -80,16 +92,14 @@ def connected_groups(links: DataFrame) -> DataFrame:
     n = seen["n"]
     names = links.select(F.explode(F.array("a", "b")).alias("nombre")).distinct().orderBy("nombre")
     names, _ = materialize(names.select("nombre", F.monotonically_increasing_id().alias("id")), "names")
-    numbered = salted_lookup(links, names.select(F.col("nombre").alias("a"), F.col("id").alias("x")), ["a"], n)
-    numbered = salted_lookup(numbered, names.select(F.col("nombre").alias("b"), F.col("id").alias("y")), ["b"], n)
+    numbered = _both_ends(links, ("a", "b"), names.select(F.col("nombre").alias("key"), F.col("id").alias("value")), ("x", "y"), n)
     edges, path = materialize(numbered.select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).distinct(), "edges")
     release(spark, links_path)
     levels = []
     while n:
         pointers, level_path = _collapse(_hook(edges), 2 * n)
         levels.append((pointers, 2 * n, level_path))
-        moved = salted_lookup(edges, pointers.select(F.col("c").alias("u"), F.col("p").alias("pu")), ["u"], n)
-        moved = salted_lookup(moved, pointers.select(F.col("c").alias("v"), F.col("p").alias("pv")), ["v"], n)
+        moved = _both_ends(edges, ("u", "v"), pointers.select(F.col("c").alias("key"), F.col("p").alias("value")), ("pu", "pv"), n)
         rest = moved.where(F.col("pu") != F.col("pv")).select(F.least("pu", "pv").alias("u"), F.greatest("pu", "pv").alias("v")).distinct()
         edges, new, seen = materialize_with(rest, "edges", n=rows)
         release(spark, path)

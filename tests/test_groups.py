@@ -42,6 +42,15 @@ def test_shapes(spark, shape):
     assert set(got) == union_find(pairs)
 
 
+@pytest.mark.parametrize("shape", ["star", "path"])
+def test_hot_names_are_salted(spark, monkeypatch, shape):
+    monkeypatch.setattr(skew, "HOT_ROWS", 20)
+    monkeypatch.setattr(skew, "HOT_SHARE", 10)
+    names = [f"n{k}" for k in range(150)]
+    pairs = [(names[7], x) for x in names] if shape == "star" else list(zip(names, names[1:]))
+    assert set(grouped(spark, pairs + [("z1", "z2")])) == union_find([*pairs, ("z1", "z2")])
+
+
 def test_nothing_and_self(spark):
     assert grouped(spark, []) == []
     assert grouped(spark, [("x", "x"), (None, "x"), (None, None)]) == []

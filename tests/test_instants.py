@@ -61,6 +61,16 @@ def us(*parts, micro=0):
         ("2023-10-29T02:30:00", MADRID, "dmy", us(2023, 10, 29, 0, 30)),  # occurs twice: the earlier
         ("2023-10-29 02:30:00 CET", MADRID, "dmy", us(2023, 10, 29, 1, 30)),
         ("2023-03-26T02:30:00", MADRID, "dmy", us(2023, 3, 26, 1, 30)),  # skipped: the offset before
+        ("2024-03-05 10:00Z (UTC)", MADRID, "dmy", us(2024, 3, 5, 10)),
+        ("2024-03-05 10:00 UTC (hora de la máquina que escribió este registro, como consta en el acta de la sesión anterior)", MADRID, "dmy", us(2024, 3, 5, 10)),
+        ("2024-03-05 10:00 (hora local)", MADRID, "dmy", us(2024, 3, 5, 9)),
+        ("Tue 5 Mar 2024 10:00 UTC", None, None, us(2024, 3, 5, 10)),
+        ("mar 5 mar 2024 10:00 UTC", None, None, us(2024, 3, 5, 10)),
+        ("mar. 5 de marzo de 2024 10:00 UTC", None, None, us(2024, 3, 5, 10)),
+        ("Mar 5 2024 10:00 UTC", None, None, us(2024, 3, 5, 10)),
+        ("Tue Mar 05 2024 10:00:00 GMT+0100 (Central European Standard Time)", None, None, us(2024, 3, 5, 9)),
+        ("Tue Mar  5 10:00:00 2024", MADRID, "dmy", us(2024, 3, 5, 9)),
+        ("Tue Mar  5 10:00:00 UTC 2024", None, None, us(2024, 3, 5, 10)),
         *[(x, MADRID, "dmy", None) for x in (None, "", "  ", "n/d", "pendiente", "ayer 14:03", "14:03:11", "0000-00-00 00:00:00", "2025-02-30T10:00:00", "2024-13-01T08:15:00", "2025-06-03T25:61:00", "MATERIALIZAR", "x" * 100_000)],
         ("2023-01-31T15:42:55", None, None, None),
     ],
