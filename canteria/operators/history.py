@@ -22,8 +22,7 @@ from pyspark.sql import functions as F
 from ..session import materialize, shuffle_partitions
 
 #: Per run: entity, payload (null: no content), first instant, end (-1: not known or none), whether runs lie between it and the run before.
-_RUN = [("entidad", pa.string()), ("contenido", pa.string()), ("desde_us", pa.int64()), ("hasta_us", pa.int64()), ("hueco", pa.bool_())]
-_OUT = "parte int, orden long, entidad string, contenido string, desde_us long, hasta_us long, hueco boolean, abierta boolean"
+_RUN = ["entidad", "contenido", "desde_us", "hasta_us", "hueco"]
 
 
 def merge_rounds(entity: np.ndarray, payload: np.ndarray) -> np.ndarray:
@@ -70,7 +69,7 @@ def reduce_block(runs: pa.Table) -> tuple[pa.Table, pa.Table]:
     end[:-1][goes_on] = desde[start[1:]][goes_on]
     gap = np.concatenate([[apart[0] > 0], np.diff(apart[start]) > 0])
     names = runs.select(["entidad", "contenido"]).take(pa.array(kept[start]))
-    out = pa.table([*names.columns, pa.array(desde[start]), pa.array(end), pa.array(gap)], schema=pa.schema(_RUN))
+    out = pa.table([*names.columns, pa.array(desde[start]), pa.array(end), pa.array(gap)], names=_RUN)
     is_open = np.zeros(len(start), bool)
     is_open[0] = True
     is_open[-2:] = True
@@ -97,7 +96,7 @@ def _local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = b.num_rows
         if not n:
             continue
-        units = pa.table([b.column(k) for k in ("entidad", "contenido", "us")] + [pa.array(np.full(n, -1)), pa.array(np.zeros(n, bool))], schema=pa.schema(_RUN))
+        units = pa.table([b.column(k) for k in ("entidad", "contenido", "us")] + [pa.array(np.full(n, -1)), pa.array(np.zeros(n, bool))], names=_RUN)
         closed, opened = reduce_block(units)
         waiting.append(opened)
         if len(closed):
@@ -111,14 +110,14 @@ def _local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _across(runs: pa.Table) -> pa.Table:
     """Joins the open runs of one entity over all partitions: three a partition at most, so their number is bounded by that of partitions."""
-    closed, opened = reduce_block(runs.sort_by([("parte", "ascending"), ("orden", "ascending")]).select([k for k, _ in _RUN]))
+    closed, opened = reduce_block(runs.sort_by([("parte", "ascending"), ("orden", "ascending")]).select(_RUN))
     return pa.concat_tables([closed, opened]).select(["entidad", "contenido", "desde_us", "hasta_us"])
 
 
 def coalesce_history(df: DataFrame, entity: str, payload: str, instant: str, newest: str) -> DataFrame:
     """(entity, payload, desde_us, hasta_us): the periods in which each payload held.
 
-    ``instant`` is microseconds (bigint); of several rows of one entity at one
+    Entity and payload are text or bytes; ``instant`` is microseconds (bigint); of several rows of one entity at one
     instant the one with the highest ``newest`` counts alone (of equal ones
     too the greatest payload).  A null payload ends the running period and
     opens none.  hasta_us is the first instant of what follows, -1 if nothing
@@ -130,8 +129,10 @@ def coalesce_history(df: DataFrame, entity: str, payload: str, instant: str, new
     order = ["entidad", "us", "nuevo", "contenido"]
     rows = df.where(F.col(entity).isNotNull() & F.col(instant).isNotNull()).select(F.col(entity).alias("entidad"), F.col(payload).alias("contenido"), F.col(instant).alias("us"), F.col(newest).alias("nuevo"))
     units = rows.repartitionByRange(shuffle_partitions(spark), *order).sortWithinPartitions(*order)
-    runs, _ = materialize(units.mapInArrow(_local, _OUT), "runs")
+    kinds = {c: rows.schema[c].dataType.simpleString() for c in ("entidad", "contenido")}
+    named = f"entidad {kinds['entidad']}, contenido {kinds['contenido']}, desde_us long, hasta_us long"
+    runs, _ = materialize(units.mapInArrow(_local, f"parte int, orden long, {named}, hueco boolean, abierta boolean"), "runs")
     closed = runs.where("not abierta and contenido is not null").select("entidad", "contenido", "desde_us", "hasta_us")
-    joined = runs.where("abierta").select("parte", "orden", "entidad", "contenido", "desde_us", "hasta_us", "hueco").groupBy("entidad").applyInArrow(_across, "entidad string, contenido string, desde_us long, hasta_us long")
+    joined = runs.where("abierta").select("parte", "orden", "entidad", "contenido", "desde_us", "hasta_us", "hueco").groupBy("entidad").applyInArrow(_across, named)
     both = closed.unionByName(joined.where(F.col("contenido").isNotNull()))
     return both.select(F.col("entidad").alias(entity), F.col("contenido").alias(payload), "desde_us", "hasta_us")

@@ -51,16 +51,18 @@ class InstantDictionary:
         self.spark = spark
         self.path = path or kept_path(spark, f"instants-{PARSER_VERSION}")
 
+    def _stored(self) -> DataFrame | None:
+        return self.spark.read.schema(_SCHEMA).parquet(self.path).select(*KEYS, "utc_us") if path_exists(self.spark, self.path) else None
+
     def read(self) -> DataFrame | None:
         """(raw, zona, orden, utc_us), each value once; None while there is no dictionary."""
-        if not path_exists(self.spark, self.path):
-            return None
-        return self.spark.read.schema(_SCHEMA).parquet(self.path).select(*KEYS, "utc_us").groupBy(*KEYS).agg(F.max("utc_us").alias("utc_us"))
+        stored = self._stored()
+        return None if stored is None else stored.groupBy(*KEYS).agg(F.max("utc_us").alias("utc_us"))
 
     def extend(self, rows: DataFrame) -> tuple[DataFrame, int]:
         """Add the values of ``rows`` (raw, zona, orden) that are not there yet; their counts (raw, zona, orden, _n) and about how many rows there are."""
         counts, _, seen = materialize_with(rows.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("_n")), "values", rows=F.sum("_n"), values=F.count(F.lit(1)))
-        known, fresh = self.read(), counts.select(*KEYS)
+        known, fresh = self._stored(), counts.select(*KEYS)
         if known is not None:
             fresh = fresh.join(known.select(*KEYS), KEYS, "left_anti")
         if seen["values"]:

@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import PENDING, canonical_url, is_blank, key_bytes, norm_hash, py_strip
+from ..functions.text import PENDING, canonical_url, is_blank, key_bytes, key_text, norm_hash, py_strip
 from ..operators import flatten, groups, history, instants, references
 from ..session import kept_path, read
 
@@ -65,7 +65,7 @@ def p5_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _captures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(referente_id, content_hash, utc_us, seq): the counting row of each version id, normalised; null content where there is none."""
+    """(referente_id, content_hash, utc_us, seq): the counting row of each version id, normalised; content as key bytes, null where there is none."""
     equipo = read(spark, sf_dir, "equipo")
     dictionary = instants.InstantDictionary(spark)
     counts, total = dictionary.extend(instants.written_values(read(spark, sf_dir, "version", "seq", "equipo", "capture_ts"), "version", ["capture_ts"], equipo))
@@ -75,7 +75,7 @@ def _captures(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.coalesce(key_bytes(F.col("id")), F.concat(F.lit(b"\x02"), F.col("seq").cast("string").cast("binary"))).alias("clave"),
         "seq",
         F.when(~is_blank(F.col("referente_id")), canonical_url(F.col("referente_id"))).alias("referente_id"),
-        F.when(~is_blank(content) & (py_strip(F.col("content_hash")) != PENDING), content).alias("content_hash"),
+        F.when(~is_blank(content) & (py_strip(F.col("content_hash")) != PENDING), key_bytes(content)).alias("content_hash"),
         py_strip(F.col("capture_ts")).alias("raw"), "equipo",
     )
     first = rows.groupBy("clave").agg(F.min_by(F.struct("referente_id", "content_hash", "raw", "equipo"), "seq").alias("v"), F.min("seq").alias("seq")).select("v.*", "seq")
@@ -85,7 +85,8 @@ def _captures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each referent's contents with the periods in which they held."""
-    return history.coalesce_history(_captures(spark, sf_dir), "referente_id", "content_hash", "utc_us", "seq")
+    periods = history.coalesce_history(_captures(spark, sf_dir), "referente_id", "content_hash", "utc_us", "seq")
+    return periods.withColumn("content_hash", key_text(F.col("content_hash")))
 
 
 # The arrays of the three JSON columns.
