@@ -46,6 +46,20 @@ N_END, N_UPPER, N_LOWER, N_FILE, N_DIGIT, N_OPEN, N_INVERTED, N_PUNCT, N_LETTER
 G_NONE, G_SPACE, G_LINE, G_END = range(4)
 K_NONE, K_QUOTE, K_QUOTE_IN, K_BRACKET, K_BRACKET_IN = range(5)
 
+def _any_of(*kinds: int) -> np.ndarray:
+    """A table to look up whether a class is one of these."""
+    out = np.zeros(20, bool)
+    out[list(kinds)] = True
+    return out
+
+
+_CLOSING = _any_of(CLOSE_Q, CLOSE_B)
+_ENDING = _any_of(DOT, MARK, HAN_DOT, HAN_MARK, DANDA, ELLIPSIS)
+_STRONG = _ENDING | _CLOSING
+_BLANK = _any_of(SPACE, NEWLINE)
+_WORD = _any_of(LETTER, UPPER, LOWER, BARE, DIGIT)
+_NAME = _any_of(LOWER, DIGIT)
+
 _BASE = 1_000_003
 _MASK = np.uint64(0x7FFFFFFFFFFFFFFF)
 
@@ -71,6 +85,13 @@ def _tables() -> tuple[np.ndarray, np.ndarray]:
     return kind, low
 
 
+@lru_cache(maxsize=1)
+def _vowel_table() -> np.ndarray:
+    out = np.zeros(0x10000, bool)
+    out[[ord(ch) for ch in _VOWELS]] = True
+    return out
+
+
 def _word_hash(word: str) -> int:
     h = 0
     for ch in reversed(word):
@@ -178,12 +199,12 @@ class Features:
     def _candidates(self) -> None:
         kind, code, block = self.kind, self.code, self.block
         n = len(kind)
-        blank = (kind == SPACE) | (kind == NEWLINE)
+        blank = _BLANK[kind]
         index = np.arange(n)
         after = np.minimum.accumulate(np.where(blank, n, index)[::-1])[::-1]  # next character that is no white space, from here on
         before = np.maximum.accumulate(np.where(blank, -1, index))
         next_blank = np.concatenate([blank[1:], [True]])
-        strong = np.isin(kind, (DOT, MARK, HAN_DOT, HAN_MARK, DANDA, ELLIPSIS, CLOSE_Q, CLOSE_B))
+        strong = _STRONG[kind]
         c = np.flatnonzero(~blank & (next_blank | strong))
         begin, end = self.first[block[c]], self.last[block[c]]
         nxt = after[np.minimum(c + 1, n - 1)]
@@ -191,12 +212,12 @@ class Features:
         nxt = np.minimum(nxt, n - 1)
         # Back over closing marks (and the space French puts before them) to what they close.
         j = c.copy()
-        live = np.flatnonzero(np.isin(kind[j], (CLOSE_Q, CLOSE_B)) & (j > begin))
+        live = np.flatnonzero(_CLOSING[kind[j]] & (j > begin))
         while len(live):
             j[live] -= 1
             spaced = live[blank[j[live]] & (j[live] > begin[live])]
             j[spaced] -= 1
-            live = live[np.isin(kind[j[live]], (CLOSE_Q, CLOSE_B)) & (j[live] > begin[live])]
+            live = live[_CLOSING[kind[j[live]]] & (j[live] > begin[live])]
         term = np.select(
             [kind[j] == DOT, kind[j] == MARK, kind[j] == HAN_DOT, kind[j] == HAN_MARK, kind[j] == DANDA, kind[j] == ELLIPSIS, kind[j] == BARE],
             [T_DOT, T_MARK, T_HAN, T_HAN_MARK, T_DANDA, T_ELLIPSIS, T_BARE], NO_TERM)
@@ -215,7 +236,7 @@ class Features:
         follow[(follow == N_LOWER) & self._file_name(nxt)] = N_FILE
         opener = np.where(j < c, self.opener[c], -1)
         prior = before[np.maximum(opener - 1, 0)]
-        alone = (opener >= 0) & ((opener <= begin) | np.isin(kind[np.maximum(prior, 0)], (DOT, MARK, HAN_DOT, HAN_MARK, DANDA, ELLIPSIS, CLOSE_Q, CLOSE_B)) | ((term == T_BARE) & (kind[np.maximum(opener - 1, 0)] == SPACE)))
+        alone = (opener >= 0) & ((opener <= begin) | _STRONG[kind[np.maximum(prior, 0)]] | ((term == T_BARE) & (kind[np.maximum(opener - 1, 0)] == SPACE)))
         bracket = kind[c] == CLOSE_B
         closed = np.where(opener < 0, K_NONE, np.where(bracket, np.where(alone, K_BRACKET, K_BRACKET_IN), np.where(alone, K_QUOTE, K_QUOTE_IN)))
         inside = (self.depth[c] > 0).astype(np.int64)
@@ -224,11 +245,11 @@ class Features:
         full = (((term * 8 + abbr) * 10 + follow) * 4 + gap) * 12 + closed * 2 + inside
         wide = (term * 10 + follow) * 12 + closed * 2 + inside
         parts = [full, wide, (term * 8 + abbr) * 10 + follow, (term * 4 + gap) * 2 + inside, term * 8 + abbr, closed * 10 + follow, np.where(term == T_DOT, shape * 10 + follow + 1, 0)]
-        self.ids = np.stack([offset + part for offset, part in zip(_OFFSETS, [*parts, *self._clause(nxt, end, closed, at_end)])], axis=1)
+        self.ids = np.stack([offset + part for offset, part in zip(_OFFSETS, [*parts, *self._clause(nxt, end, closed, at_end)])])
 
     def _clause(self, nxt: np.ndarray, end: np.ndarray, closed: np.ndarray, at_end: np.ndarray) -> list[np.ndarray]:
         """What follows a closed quotation or bracket, hashed: how its clause begins, and how it ends."""
-        n, term = len(self.kind), np.isin(self.kind, (DOT, MARK, HAN_DOT, HAN_MARK, DANDA, ELLIPSIS))
+        n, term = len(self.kind), _ENDING[self.kind]
         stop = np.minimum.accumulate(np.where(term, np.arange(n), n)[::-1])[::-1]
         out = [np.zeros(len(nxt), np.int64) for _ in range(_CLAUSE_FEATURES)]
         k = np.flatnonzero((closed > K_NONE) & ~at_end)
@@ -256,7 +277,7 @@ class Features:
             p = pos - k
             ok = live & (p >= begin)
             p = np.maximum(p, 0)
-            ok &= np.isin(self.kind[p], (LETTER, UPPER, LOWER, BARE, DIGIT))
+            ok &= _WORD[self.kind[p]]
             digits &= ~ok | (self.kind[p] == DIGIT)
             h = np.where(ok, (h * np.uint64(_BASE) + self.low[p].astype(np.uint64)) & _MASK, h)
             size += ok
@@ -276,24 +297,24 @@ class Features:
         found = _find(single, single_v, h)
         # A lone letter is an initial, unless it is a unit after a number.
         u = np.maximum(pos - 2, 0)
-        u = np.where(np.isin(self.kind[u], (SPACE, NEWLINE)), np.maximum(u - 1, 0), u)
+        u = np.where(_BLANK[self.kind[u]], np.maximum(u - 1, 0), u)
         unit = (self.kind[np.maximum(pos - 1, 0)] == LOWER) & (self.kind[u] == DIGIT) & (u >= begin)
         initial = (size == 1) & ~number & (found == 0) & ~unit
         # The word before, if it too ends in a period; a space may stand between.
         q = pos - size - 1
         qk = self.kind[np.maximum(q, 0)]
-        q = np.where((q >= begin) & np.isin(qk, (SPACE, NEWLINE)), q - 1, q)
+        q = np.where((q >= begin) & _BLANK[qk], q - 1, q)
         dotted = (q >= begin) & (self.code[np.maximum(q, 0)] == ord(".")) & (size > 0)
         h2, size2, _ = self._back(np.maximum(q, 0), begin, dotted)
         both = _find(pair, pair_v, (h2 * np.uint64(31) + h) & _MASK)
         result = np.where(dotted & (both > 0), both, np.where(found > 0, found, np.where(initial, A_INITIAL, NO_ABBR)))
         # An ordinal: a number after an article or preposition.
-        h3, _, _ = self._back(np.maximum(np.where(np.isin(self.kind[np.maximum(pos - size - 1, 0)], (SPACE, NEWLINE)), pos - size - 1, 0), 0), begin, number & (size <= 2))
+        h3, _, _ = self._back(np.maximum(np.where(_BLANK[self.kind[np.maximum(pos - size - 1, 0)]], pos - size - 1, 0), 0), begin, number & (size <= 2))
         result[number & (size <= 2) & np.isin(h3, leads)] = A_ORDINAL
         street = (size > 3) & np.all([self.low[np.maximum(pos - 3 + i, 0)] == ord(ch) for i, ch in enumerate("str")], axis=0)
         result[street & (result == NO_ABBR)] = A_NEVER
         out[k] = result
-        vowels = np.cumsum(np.isin(self.low, [ord(ch) for ch in _VOWELS]))
+        vowels = np.cumsum(_vowel_table()[np.minimum(self.low, 0xFFFF)])
         head = np.maximum(pos - size, 0)
         lacks = (size > 1) & ~number & (vowels[np.maximum(pos - 1, 0)] == vowels[np.maximum(head - 1, 0)])
         shape[k] = (np.minimum(size, 5) * 2 + lacks) * 2 + (self.kind[head] == UPPER)
@@ -305,8 +326,8 @@ class Features:
         live, p, dot = np.arange(len(at)), at.copy(), np.zeros(len(at), bool)
         while len(live):
             q = np.minimum(p, n - 1)
-            word = np.isin(self.kind[q], (LOWER, DIGIT)) | np.isin(self.code[q], [ord("_"), ord("-")])
-            is_dot = (self.code[q] == ord(".")) & (p > at[live]) & np.isin(self.kind[np.minimum(q + 1, n - 1)], (LOWER, DIGIT)) & ~dot
+            word = _NAME[self.kind[q]] | np.isin(self.code[q], [ord("_"), ord("-")])
+            is_dot = (self.code[q] == ord(".")) & (p > at[live]) & _NAME[self.kind[np.minimum(q + 1, n - 1)]] & ~dot
             out[live[~word & ~is_dot & dot]] = True
             on = (word | is_dot) & (p < n)
             dot, p, live = (dot | is_dot)[on], p[on] + 1, live[on]
@@ -325,7 +346,7 @@ class BoundaryModel:
         self.weights, self.steps = weights, steps
 
     def decode(self, f: Features, cost: np.ndarray | float = 0.0) -> np.ndarray:
-        """For each candidate, is it tagged as a boundary?  Viterbi over all blocks side by side.
+        """For each candidate, is it tagged as a boundary?  Viterbi over all chains of candidates that touch, side by side.
 
         ``cost`` is added to the scores of the candidates.
         Between two candidates that do not touch lie inside characters only;
@@ -333,43 +354,40 @@ class BoundaryModel:
         candidates do, so they are 0, and only steps between characters that
         touch are learned.
         """
-        score = self.weights[f.ids].sum(axis=1) + cost
-        s = self.steps
-        block = f.block[f.at]
-        begin = np.searchsorted(block, np.arange(len(f.first)))
-        count = np.searchsorted(block, np.arange(len(f.first)), "right") - begin
-        out = np.zeros(len(f.at), bool)
+        score = np.zeros(len(f.at)) + cost
+        for part in f.ids:
+            score += self.weights[part]
+        out = score > 0  # a chain of one
+        begin = np.flatnonzero(~f.adjacent)
+        count = np.diff(np.concatenate([begin, [len(score)]]))
+        begin, count = begin[count > 1], count[count > 1]
         order = np.argsort(count, kind="stable")
         for lane in np.array_split(order, max(1, len(order) // 2048)):
-            lane = lane[count[lane] > 0]
             if not len(lane):
                 continue
             longest = int(count[lane].max())
-            best = np.zeros((len(lane), 2))
+            best, tag = np.zeros((len(lane), 2)), np.zeros(len(lane), bool)
             came = np.zeros((longest, len(lane), 2), bool)
             for t in range(longest):
                 live = t < count[lane]
-                at = np.minimum(begin[lane] + t, len(score) - 1)
-                step = np.where(f.adjacent[at][:, None, None], s[None], 0.0) if t else np.zeros((len(lane), 2, 2))
-                path = best[:, :, None] + step
+                path = best[:, :, None] + (self.steps if t else np.zeros((2, 2)))
                 came[t] = path[:, 1, :] > path[:, 0, :]
                 now = path.max(axis=1)
-                now[:, 1] += score[at]
+                now[:, 1] += score[np.minimum(begin[lane] + t, len(score) - 1)]
                 best = np.where(live[:, None], now, best)
             tag = best[:, 1] > best[:, 0]
             rows = np.arange(len(lane))
             for t in range(longest - 1, -1, -1):
                 live = t < count[lane]
-                at = begin[lane] + t
-                out[at[live]] = tag[live]
+                out[begin[lane][live] + t] = tag[live]
                 tag = np.where(live, came[t, rows, tag.astype(int)], tag)
         return out
 
 
-#: Share of the boundaries shown without what follows them.
-MASKED = 0.5
 #: How much faster the many features of clauses learn than the others.
 CLAUSE_RATE = 2.0
+#: Share of the boundaries shown without what follows them.
+MASKED = 0.5
 #: By how much a right tag must be better than a wrong one.
 MARGIN = 100.0
 #: Parts the labelled sentences are dealt into, where one is to be held out.
@@ -452,12 +470,12 @@ def train(documents: int = 8000, epochs: int = 6, seed: int = 11, fold: int | No
         for (f, _m), gold, ids in zip(parts, gold_of, known):
             # Some of the boundaries are shown without what follows, so that a clause never seen before is taken for a new sentence.
             f.ids = ids.copy()
-            f.ids[gold & (rng.random(len(gold)) < MASKED), -_CLAUSE_FEATURES:] = unknown
+            f.ids[-_CLAUSE_FEATURES:, gold & (rng.random(len(gold)) < MASKED)] = unknown[:, None]
             guess = BoundaryModel(weights, steps).decode(f, np.where(gold, -MARGIN, MARGIN))
             wrong = guess != gold
             if wrong.any():
                 sign = np.where(gold[wrong], 1.0, -1.0)
-                np.add.at(weights, f.ids[wrong].ravel(), (sign[:, None] * rates).ravel())
+                np.add.at(weights, f.ids[:, wrong].ravel(), (rates[:, None] * sign).ravel())
                 weights[unknown] = 0.0  # as a clause never seen weighs nothing
                 steps += pairs(f, gold) - pairs(f, guess)
             weights_sum += weights
@@ -514,7 +532,7 @@ def _decode(prose: list[tuple[int, int, str]], model: BoundaryModel) -> tuple[np
     cut = np.unique(np.concatenate([cut, f.last]))  # a block always ends a sentence
     block = f.block[cut]
     fresh = np.concatenate([[True], block[1:] != block[:-1]])
-    blank = (f.kind == SPACE) | (f.kind == NEWLINE)
+    blank = _BLANK[f.kind]
     after = np.minimum.accumulate(np.where(blank, len(blank), np.arange(len(blank)))[::-1])[::-1]
     begin = np.where(fresh, f.first[block], after[np.minimum(np.concatenate([[0], cut[:-1]]) + 1, len(blank) - 1)])
     shift = base[block] - f.first[block]
