@@ -8,6 +8,8 @@ of their names, so the root of a component is its smallest member.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +21,8 @@ from .skew import salted_lookup
 # The spellings that join two referents and those that part them.
 JOINING = ("mirror", "espejo")
 PARTING = ("split", "separado")
+#: What is left of a graph when so few edges are (a hundred kilobytes) is done in one task: the same rounds, without a job for each.
+TASK_EDGES = 4096
 
 
 def decided_links(asserts: DataFrame) -> DataFrame:
@@ -70,6 +74,36 @@ def _collapse(pointers: DataFrame, n: int) -> tuple[DataFrame, str]:
             return now, path
 
 
+def hook_all(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(component, root) after all rounds over edges (u, v): the same hooking, doubling and relabelling, in memory."""
+    nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    u, v = at[: len(u)], at[len(u) :]
+    label = np.arange(len(nodes))
+    while len(u):
+        pick = np.full(len(nodes), len(nodes))
+        np.minimum.at(pick, u, v)
+        np.minimum.at(pick, v, u)
+        inside = np.arange(len(nodes))
+        point = np.where(pick < len(nodes), pick, inside)
+        point = np.where((point[point] == inside) & (point > inside), inside, point)  # of two that picked each other the smaller is a root
+        while (point != point[point]).any():
+            point = point[point]
+        label, u, v = point[label], point[u], point[v]
+        apart = u != v
+        u, v = np.unique(np.stack([np.minimum(u, v)[apart], np.maximum(u, v)[apart]]), axis=1)
+    return nodes, nodes[label]
+
+
+def _finish(edges: DataFrame) -> DataFrame:
+    """(c, p): the root of every component of a graph of at most TASK_EDGES edges, in one task."""
+
+    def run(table: pa.Table) -> pa.Table:
+        c, p = hook_all(table["u"].to_numpy(), table["v"].to_numpy())
+        return pa.table({"c": pa.array(c), "p": pa.array(p)})
+
+    return edges.withColumn("rest", F.lit(0)).groupBy("rest").applyInArrow(run, "c long, p long")
+
+
 def _both_ends(edges: DataFrame, ends: tuple[str, str], lookup: DataFrame, names: tuple[str, str], n: int) -> DataFrame:
     """``edges`` (a stored table) with what ``lookup`` (key, value) says of each end, in columns ``names``; rows per key are counted on the stored table."""
     out = edges
@@ -97,8 +131,11 @@ def connected_groups(links: DataFrame) -> DataFrame:
     release(spark, links_path)
     levels = []
     while n:
-        pointers, level_path = _collapse(_hook(edges), 2 * n)
-        levels.append((pointers, 2 * n, level_path))
+        if n <= TASK_EDGES:
+            levels.append((materialize(_finish(edges), "hook")[0], 2 * n))
+            break
+        pointers, _ = _collapse(_hook(edges), 2 * n)
+        levels.append((pointers, 2 * n))
         moved = _both_ends(edges, ("u", "v"), pointers.select(F.col("c").alias("key"), F.col("p").alias("value")), ("pu", "pv"), n)
         rest = moved.where(F.col("pu") != F.col("pv")).select(F.least("pu", "pv").alias("u"), F.greatest("pu", "pv").alias("v")).distinct()
         edges, new, seen = materialize_with(rest, "edges", n=rows)
@@ -106,9 +143,9 @@ def connected_groups(links: DataFrame) -> DataFrame:
         path, n = new, seen["n"]
     if not levels:
         return names.select(F.col("nombre").alias("grupo"), F.col("nombre").alias("miembro")).limit(0)
-    roots, size, _ = levels.pop()
+    roots, size = levels.pop()
     while levels:
-        lower, size, _ = levels.pop()
+        lower, size = levels.pop()
         roots = salted_lookup(lower, roots.select(F.col("c").alias("p"), F.col("p").alias("r")), ["p"], size, "left").select("c", F.coalesce("r", "p").alias("p"))
     members = names.join(roots.select(F.col("c").alias("id"), F.col("p").alias("root")), "id")
     heads = names.select(F.col("id").alias("root"), F.col("nombre").alias("grupo"))

@@ -1,6 +1,9 @@
 import random
 
+import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from canteria.operators import groups, skew
@@ -27,8 +30,10 @@ def grouped(spark, pairs):
     return [tuple(r) for r in groups.connected_groups(df).collect()]
 
 
+@pytest.mark.parametrize("in_task", [0, 40, 4096])
 @pytest.mark.parametrize("shape", ["path", "star", "random", "cycle"])
-def test_shapes(spark, shape):
+def test_shapes(spark, monkeypatch, shape, in_task):
+    monkeypatch.setattr(groups, "TASK_EDGES", in_task)
     rng = random.Random(3)
     names = [f"n{rng.random()}" for _ in range(120)]
     pairs = {
@@ -44,6 +49,7 @@ def test_shapes(spark, shape):
 
 @pytest.mark.parametrize("shape", ["star", "path"])
 def test_hot_names_are_salted(spark, monkeypatch, shape):
+    monkeypatch.setattr(groups, "TASK_EDGES", 0)
     monkeypatch.setattr(skew, "HOT_ROWS", 20)
     monkeypatch.setattr(skew, "HOT_SHARE", 10)
     names = [f"n{k}" for k in range(150)]
@@ -51,6 +57,14 @@ def test_hot_names_are_salted(spark, monkeypatch, shape):
     assert set(grouped(spark, pairs + [("z1", "z2")])) == union_find([*pairs, ("z1", "z2")])
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 12), st.integers(0, 12)), max_size=25))
+def test_rounds_in_memory(pairs):
+    edges = sorted({tuple(sorted(p)) for p in pairs if p[0] != p[1]})
+    c, p = groups.hook_all(*(np.array([e[k] for e in edges], np.int64) for k in (0, 1)))
+    assert set(zip(p.tolist(), c.tolist())) == union_find(edges)
+
+
 def test_nothing_and_self(spark):
     assert grouped(spark, []) == []
     assert grouped(spark, [("x", "x"), (None, "x"), (None, None)]) == []
