@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 from functools import reduce
 
@@ -12,7 +13,7 @@ from ..functions import canonical, text
 from ..operators import claims
 from ..operators.skew import salted_lookup
 from ..session import materialize, new_path, read, shuffle_partitions
-from ..sources import grains
+from ..sources import emission, fetching, grains
 from ..sources.store import LOG_NAME, read_log
 from .found import REFERENCES
 from .projection import COLUMNS, KINDS, rebuild
@@ -121,6 +122,41 @@ def preflight_counts(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+class _Hashes:
+    """A stand-in for the snapshots of a store: names bytes and keeps nothing."""
+
+    def put_snapshot(self, data: bytes) -> str:
+        return hashlib.sha256(data).hexdigest()
+
+
+def _stand_in_fetch(url: str | None) -> bytes:
+    """A fetch that goes by the hash of the URL and gives its text."""
+    if not url or hashlib.sha256(url.encode()).hexdigest()[0] in "0123":
+        raise OSError("down" if url else "no URL")
+    return url.encode()
+
+
+def materialize_outcomes(spark: SparkSession, d: str) -> DataFrame:
+    """What becomes of every version's reference when the pending ones are fetched, by a stand-in."""
+    v = claims.load_bearing(_first(spark, d, "version", "content_hash", "url_cruda"), read(spark, d, "afirmacion", "ref_id"))
+    refs = v.select(F.lit(0).alias("place"), F.col("id").alias("local_id"), F.col("url_cruda").alias("url"), "content_hash", "load_bearing")
+    out = fetching.materialize(refs, _Hashes(), _stand_in_fetch, clock=lambda: "2026-01-01T00:00:00")
+    return out.select(F.col("local_id").alias("id"), "load_bearing", "estado", "content_hash", "capture_ts", "bytes", "error")
+
+
+def materialize_counts(spark: SparkSession, d: str) -> DataFrame:
+    """The same counted by outcome."""
+    return materialize_outcomes(spark, d).groupBy("estado", "load_bearing").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes"))
+
+
+def reinferred(spark: SparkSession, d: str) -> DataFrame:
+    """Every inference read again by a stand-in that concludes what was premised, and how far that lies from what was concluded."""
+    rows = read(spark, d, "inscripcion", "seq", "premisa", "busqueda", "resultados_crudos", "conclusion", "inferidor_model", "inferidor_ts", "huella")
+    again = emission.reinfer(rows.withColumn("antes", F.col("conclusion")), lambda premise, searches, results: premise, "model-b", "2026-01-01T00:00:00")
+    common, both = claims.divergence_counts(F.col("antes"), F.col("conclusion"))
+    return again.select("seq", "huella", "conclusion", text.signature(F.col("inferidor_model"), F.col("inferidor_ts")).alias("firma"), common.cast("long").alias("comunes"), both.cast("long").alias("todas"))
+
+
 def snapshot_dedup(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "documents", "text").where(F.col("text").isNotNull()).select(text.content_hash(F.col("text")).alias("content_hash")).distinct()
 
@@ -313,5 +349,5 @@ QUERIES = (
     current_version, first_write_wins, first_capture, orphans, unsafe_claims, trace_up, pinned_versions, load_bearing, missing_events, consumption_state,
     consumption_gate, divergence, divergence_rounded, preflight, preflight_counts, snapshot_dedup, export_lines, export_upsert, lint_inferences, lint_triplets, lint_needs,
     lint_versions, lint_times, lint_schema, integrity, canonical_json, canonical_urls, det_ids, content_hashes, assert_bag, log_counts, dump_tables,
-    dump_projection, log_scan, rebuild_dump, grain_events, grain_lint, grain_states, grain_ingest, export_log_lines, export_log_upsert, missing_log_events,
+    dump_projection, log_scan, rebuild_dump, grain_events, grain_lint, grain_states, grain_ingest, materialize_outcomes, materialize_counts, reinferred, export_log_lines, export_log_upsert, missing_log_events,
 )

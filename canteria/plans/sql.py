@@ -160,6 +160,13 @@ _PREFLIGHT = f"""(select id, load_bearing, estado, case when estado in ('OK', 'Y
    from {_first("version")} v left join (select distinct ref_id id from afirmacion where ref_id is not null and ref_id <> '') u on u.id = v.id))"""
 
 
+_OUTCOMES = f"""(select id, u.id is not null load_bearing, estado, case estado when 'ya' then content_hash when 'materializada' then sha256(url_cruda) end content_hash,
+    case estado when 'materializada' then '2026-01-01T00:00:00' end capture_ts, case estado when 'materializada' then strlen(url_cruda) end bytes,
+    case when estado = 'fallida' then case when coalesce(url_cruda, '') = '' then 'OSError: no URL' else 'OSError: down' end end error from
+  (select *, case when content_hash is not null and content_hash not in ('MATERIALIZAR', '') then 'ya' when coalesce(url_cruda, '') = '' or left(sha256(url_cruda), 1) in ('0', '1', '2', '3') then 'fallida' else 'materializada' end estado
+    from {_first("version")}) v left join (select distinct ref_id id from afirmacion where ref_id is not null and ref_id <> '') u using (id))"""
+
+
 def _dumped(table: str, source: str, but: tuple[str, ...] = ()) -> str:
     fields = ", ".join(f"'{c}': coalesce({c}, chr(0))" for c in sorted(COLUMNS[table]) if c not in but)
     return f"select '{table}' tabla, cast(to_json({{{fields}}}) as varchar) fila from {source}"
@@ -222,6 +229,10 @@ ORACLES = {
       select seq, case when any_event then session_id else '' end session_id, case when not any_event then 'ERROR' when presentes = 0 then 'NO-CONSUMIDO' when presentes = total then 'CONSUMIDO' else 'PARCIAL' end estado, coalesce(total, 0) total, coalesce(presentes, 0) presentes from d left join n using (seq)""",
     "grain_ingest": f"""with e as ({_grain_events()}), there as (select id from e join grano using (seq) where ts < '2024')
       select id, arg_min(ev, [seq, pos]) ev, min([seq, pos])[1] seq, cast(min([seq, pos])[2] as int) pos from e where id not in (select id from there) group by id""",
+    "materialize_outcomes": f"select * from {_OUTCOMES}",
+    "materialize_counts": f"select estado, load_bearing, count(*) n, sum(bytes)::bigint bytes from {_OUTCOMES} group by all",
+    "reinferred": f"""select seq, huella, premisa conclusion, 'model-b@2026-01-01T00:00:00' firma, len(list_intersect({_words("conclusion")}, {_words("premisa")})) comunes,
+      len(list_distinct(list_concat({_words("conclusion")}, {_words("premisa")}))) todas from inscripcion""",
     "dump_tables": """select 'equipo' tabla, cast(to_json({'equipo': equipo, 'orden_fecha': orden_fecha, 'zona': zona}) as varchar) fila from equipo
       union all select 'envase', cast(to_json({'capacidad': cast(capacidad as varchar), 'envase': envase}) as varchar) from envase
       union all select 'mezcla', cast(to_json({'max_rep': cast(max_rep as varchar), 'peso': cast(peso as varchar), 'source': source}) as varchar) from mezcla""",

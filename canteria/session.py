@@ -149,7 +149,8 @@ def list_files(spark: SparkSession, path: str) -> dict[str, str]:
     out, todo = {}, [p]
     while todo:
         for status in fs.listStatus(todo.pop()):
-            at, folder, length, changed = _STATUS.match(status.toString()).groups()
+            m = _STATUS.match(status.toString())  # one call across the bridge instead of four
+            at, folder, length, changed = m.groups() if m else (status.getPath().toString(), str(status.isDirectory()).lower(), status.getLen(), status.getModificationTime())
             name = at.rsplit("/", 1)[-1]
             if name.startswith(("_", ".")):
                 continue
