@@ -32,7 +32,7 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         columns = [b.column(b.schema.get_field_index(k)) for k in KEYS]
         us = [to_utc_us(r, z or None, o or None) for r, z, o in zip(*(c.to_pylist() for c in columns))]
-        yield pa.RecordBatch.from_arrays([*columns, pa.array(us, pa.int64())], names=[*KEYS, "utc_us"])
+        yield pa.RecordBatch.from_arrays([*columns, pa.array(us, pa.int64()), b.column(b.schema.get_field_index("_n"))], names=[*KEYS, "utc_us", "_n"])
 
 
 class InstantDictionary:
@@ -61,13 +61,18 @@ class InstantDictionary:
 
     def extend(self, rows: DataFrame) -> tuple[DataFrame, int]:
         """Add the values of ``rows`` (raw, zona, orden) that are not there yet; their counts (raw, zona, orden, _n) and about how many rows there are."""
-        counts, _, seen = materialize_with(rows.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("_n")), "values", rows=F.sum("_n"), values=F.count(F.lit(1)))
-        known, fresh = self._stored(), counts.select(*KEYS)
-        if known is not None:
-            fresh = fresh.join(known.select(*KEYS), KEYS, "left_anti")
-        if seen["values"]:
-            _, path, added = materialize_with(fresh.mapInArrow(_parse, _SCHEMA), "", f"{self.path}/lote={{}}", values=F.count(F.lit(1)))
-            if not added["values"]:
+        counts = rows.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("_n"))
+        known, batch, total = self._stored(), f"{self.path}/lote={{}}", F.sum("_n")
+        if known is None:  # all are new: one job counts, parses and stores them
+            parsed, path, seen = materialize_with(counts.mapInArrow(_parse, f"{_SCHEMA}, _n long"), "", batch, rows=total)
+            if not seen["rows"]:
+                release(self.spark, path)
+            return parsed.select(*KEYS, "_n"), seen["rows"] or 0
+        counts, _, seen = materialize_with(counts, "values", rows=total)
+        if seen["rows"]:
+            fresh = counts.join(known.select(*KEYS), KEYS, "left_anti")
+            _, path, added = materialize_with(fresh.mapInArrow(_parse, f"{_SCHEMA}, _n long"), "", batch, rows=total)
+            if not added["rows"]:
                 release(self.spark, path)
         return counts, seen["rows"] or 0
 
