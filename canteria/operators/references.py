@@ -10,7 +10,6 @@ late ones.
 from __future__ import annotations
 
 import json
-import uuid
 from collections.abc import Callable
 from functools import reduce
 
@@ -18,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import key_bytes, key_text
-from ..session import list_files, path_exists, read_text, release, write_text
+from ..session import list_files, materialize_with, path_exists, read_text, release, write_text
 from .skew import salted_lookup
 
 STATE = ["destino", "clave"]
@@ -67,11 +66,13 @@ class KeptState:
     no manifest entry has; if one that is in the state is gone or has changed,
     the state is built anew from all files.  A manifest is written last and
     never overwritten, so a job that dies leaves the state before it, and of
-    two writers the second keeps its own table to itself.
+    two writers the second keeps its own table to itself.  ``rows`` is about
+    how many references are in the state, ``read_files`` how many files the
+    last update read.
     """
 
     def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path, self.read_files = spark, path, 0
+        self.spark, self.path, self.read_files, self.rows = spark, path, 0, 0
 
     def _manifest(self) -> tuple[int, dict] | None:
         found = list_files(self.spark, f"{self.path}/manifest") if path_exists(self.spark, f"{self.path}/manifest") else {}
@@ -93,6 +94,7 @@ class KeptState:
             old = None
         fresh = {name: [f for f in files if not old or f not in old["files"].get(name, {})] for name, files in now.items()}
         self.read_files = sum(map(len, fresh.values()))
+        self.rows = old["rows"] if old else 0
         if old and not self.read_files:
             return self._state(old["state"])
 
@@ -100,13 +102,10 @@ class KeptState:
             whole = not old and bool(now[name])
             return self.spark.read.parquet(tables[name]) if whole else self.spark.read.parquet(*fresh[name]) if fresh[name] else None
 
-        table = f"{self.path}/state/{uuid.uuid4().hex}"
-        parts = deltas(added) + ([self._state(old["state"])] if old else [])
-        if parts:
-            merge_state(*parts).write.option("compression", "zstd").parquet(table)
-        else:
-            self.spark.createDataFrame([], STATE_SCHEMA).write.parquet(table)
-        if write_text(self.spark, f"{self.path}/manifest/{number + 1:012d}", json.dumps({"state": table, "files": now})) and last:
+        parts = [self.spark.createDataFrame([], STATE_SCHEMA), *deltas(added)] + ([self._state(old["state"])] if old else [])
+        _, table, seen = materialize_with(merge_state(*parts), "", f"{self.path}/state/{{}}", rows=F.sum("referencias"))
+        self.rows = seen["rows"] or 0
+        if write_text(self.spark, f"{self.path}/manifest/{number + 1:012d}", json.dumps({"state": table, "files": now, "rows": self.rows})) and last:
             release(self.spark, *(f"{self.path}/manifest/{k:012d}" for k in range(max(1, number - 1), number)))
         return self._state(table)
 
@@ -125,13 +124,14 @@ def orphan_keys(state: DataFrame) -> DataFrame:
     return state.where(F.col("referencias") > 0).withColumn("clase", clase).where(F.col("clase").isNotNull()).select(*STATE, "referencias", "clase", "alta_min")
 
 
-def classify_references(refs: DataFrame, state: DataFrame) -> DataFrame:
+def classify_references(refs: DataFrame, state: DataFrame, rows: int | None = None) -> DataFrame:
     """(tabla, campo, seq, periodo, clase, destino, id): the rows of ``refs`` whose target is missing, withdrawn or late.
 
     ``state`` is that of all ``refs``, so its counts say which keys are hot;
-    it is read several times and should be a stored table.
+    it is read several times and should be a stored table.  ``rows``, about
+    how many references there are, saves adding them up.
     """
-    rows = state.agg(F.sum("referencias")).first()[0] or 0
+    rows = rows if rows is not None else state.agg(F.sum("referencias")).first()[0] or 0
     counts = state.where(F.col("referencias") > 0).select(*STATE, F.col("referencias").alias("_n"))
     hit = salted_lookup(refs, orphan_keys(state).drop("referencias"), STATE, rows, counts=counts)
     return hit.where((F.col("clase") != "tardia") | (F.col("alta_min") > F.col("seq"))).select("tabla", "campo", "seq", "periodo", "clase", "destino", key_text(F.col("clave")).alias("id"))

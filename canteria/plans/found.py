@@ -37,8 +37,8 @@ def _references(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reduce(DataFrame.unionByName, rows)
 
 
-def _reference_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The kept counts of a folder of tables, brought up to date with what its files have gained."""
+def _classified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All references with their class, by the kept counts of a folder of tables, brought up to date with what its files have gained."""
     targets = [to for _, _, to in REFERENCES]
     tables = sorted({t for t, _, _ in REFERENCES} | set(targets))
 
@@ -48,19 +48,19 @@ def _reference_state(spark: SparkSession, sf_dir: str) -> DataFrame:
         return out + [references.withdrawal_deltas(rows, targets) for rows in [added("baja")] if rows is not None]
 
     name = f"references/{hashlib.sha256(sf_dir.encode()).hexdigest()[:16]}"
-    return references.KeptState(spark, kept_path(spark, name)).update({t: f"{sf_dir}/{t}.parquet" for t in (*tables, "baja")}, deltas)
+    kept = references.KeptState(spark, kept_path(spark, name))
+    state = kept.update({t: f"{sf_dir}/{t}.parquet" for t in (*tables, "baja")}, deltas)
+    return references.classify_references(_references(spark, sf_dir), state, kept.rows)
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every stored reference whose target is missing, withdrawn or only arrived later."""
-    refs = _references(spark, sf_dir)
-    return references.classify_references(refs, _reference_state(spark, sf_dir)).select("tabla", "campo", "seq", "periodo", "clase")
+    return _classified(spark, sf_dir).select("tabla", "campo", "seq", "periodo", "clase")
 
 
 def p5_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same by table, field and month: rows and distinct ids of each class."""
-    refs = _references(spark, sf_dir)
-    rows = references.classify_references(refs, _reference_state(spark, sf_dir))
+    rows = _classified(spark, sf_dir)
     return rows.groupBy("tabla", "campo", "periodo", "clase", "id").agg(F.count(F.lit(1)).alias("n")).groupBy("tabla", "campo", "periodo", "clase").agg(F.sum("n").alias("filas"), F.count(F.lit(1)).alias("ids"))
 
 
