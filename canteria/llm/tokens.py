@@ -22,14 +22,22 @@ SPACE_RUN = 1000
 
 
 @lru_cache(maxsize=2)
-def encoding(folder: str, name: str):
+def _encoding(name: str, vocabulary: bytes):
     import tiktoken
 
-    with open(os.path.join(folder, name), "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, vocabulary.splitlines())}
     return tiktoken.Encoding(name, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+def read_vocabulary(folder: str, name: str) -> bytes:
+    with open(os.path.join(folder, name), "rb") as f:
+        return f.read()
+
+
+def encoding(folder: str, name: str):
+    return _encoding(name, read_vocabulary(folder, name))
+
+
 _SPACES = regex.compile(r"\p{White_Space}{%d,}" % SPACE_RUN)
 
 
@@ -47,11 +55,16 @@ def count(text: str | None, enc) -> int:
 
 
 def with_lengths(docs: DataFrame, *keep: str, text: str = "text", folder: str = TOKENIZER_DIR, vocabulary: str = VOCABULARY) -> DataFrame:
-    """The columns ``keep`` of ``docs`` and ``tokens``, the length of the text; null and empty texts have 0."""
+    """The columns ``keep`` of ``docs`` and ``tokens``, the length of the text; null and empty texts have 0.
+
+    The vocabulary file is read by the driver and sent to the workers (about a
+    megabyte, whatever the data), which need not have the folder.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast(read_vocabulary(folder, vocabulary))
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in (docs.schema[k] for k in keep)) + ", tokens long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoding(folder, vocabulary)
+        enc = _encoding(vocabulary, sent.value)
         for b in batches:
             lengths = [count(t.as_py(), enc) for t in b.column(len(keep))]
             yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(lengths, pa.int64())], names=[*keep, "tokens"])
