@@ -53,6 +53,10 @@ def _by_document(docs: DataFrame, one, schema: str, load=load_yaml) -> DataFrame
     return docs.select("path", "texto").mapInPandas(run, schema)
 
 
+def _as_json(event_id: str, event: dict) -> str:
+    return json.dumps({**event, "id": event_id}, ensure_ascii=False, sort_keys=True, default=str)
+
+
 def derived_events(docs: DataFrame, root_key: str, load=load_yaml) -> DataFrame:
     """(path, session_id, pos, id, ev, evento, error): every event the documents give, in order of pos; evento is JSON.
 
@@ -63,13 +67,19 @@ def derived_events(docs: DataFrame, root_key: str, load=load_yaml) -> DataFrame:
     def one(path: str, doc: object, error: str | None) -> list[tuple]:
         session = document.session_of(doc, root_key)
         pairs = document.derive_events(doc, root_key)
-        rows = [(path, session, k, i, e["ev"], json.dumps({**e, "id": i}, ensure_ascii=False, sort_keys=True, default=str), None) for k, (i, e) in enumerate(pairs)]
+        rows = [(path, session, k, i, e["ev"], _as_json(i, e), None) for k, (i, e) in enumerate(pairs)]
         return rows or [(path, session, None, None, None, None, error)]
 
     rows = _by_document(docs, one, "path string, session_id string, pos double, id string, ev string, evento string, error string", load)
     return rows.withColumn("pos", F.col("pos").cast("int"))
 
 
+def _standing(found: DataFrame, snapshots: DataFrame) -> DataFrame:
+    """The findings that stand: all but those whose hash is stored."""
+    stored = snapshots.select(F.col("content_hash").alias("hash")).distinct().withColumn("_there", F.lit(True))
+    return found.join(stored, "hash", "left").where(F.col("hash").isNull() | F.col("_there").isNull()).drop("_there")
+
+
 def lint(docs: DataFrame, snapshots: DataFrame, root_key: str, load=load_yaml) -> DataFrame:
     """(path, pos, regla, mensaje): what stands against each document, in report order."""
 
@@ -79,9 +89,19 @@ def lint(docs: DataFrame, snapshots: DataFrame, root_key: str, load=load_yaml) -
         return [(path, k, *x) for k, x in enumerate(document.lint(doc, root_key))]
 
     found = _by_document(docs, one, "path string, pos int, regla string, mensaje string, hash string", load)
-    stored = snapshots.select(F.col("content_hash").alias("hash")).distinct().withColumn("_there", F.lit(True))
-    held = found.join(stored, "hash", "left").where(F.col("hash").isNull() | F.col("_there").isNull())
-    return held.select("path", "pos", "regla", "mensaje")
+    return _standing(found, snapshots).select("path", "pos", "regla", "mensaje")
+
+
+def examined(docs: DataFrame, root_key: str, load=load_yaml) -> DataFrame:
+    """(path, pos, id, ev, evento, regla, hash): events and findings of every document from one parse; one that cannot become events has a finding."""
+
+    def one(path: str, doc: object, error: str | None) -> list[tuple]:
+        if error:
+            return [(path, 0, None, None, None, "YAML", None)]
+        found = [(path, k, None, None, None, rule, content) for k, (rule, _, content) in enumerate(document.lint(doc, root_key))]
+        return found + [(path, k, i, e["ev"], _as_json(i, e), None, None) for k, (i, e) in enumerate(document.derive_events(doc, root_key))]
+
+    return _by_document(docs, one, "path string, pos int, id string, ev string, evento string, regla string, hash string", load)
 
 
 def states_of(events: DataFrame, log_ids: DataFrame) -> DataFrame:
@@ -107,23 +127,27 @@ def fresh_events(events: DataFrame, log_ids: DataFrame) -> DataFrame:
     return missing_events(first, log_ids).select("path", "pos", "id", "ev", "evento")
 
 
-def new_events(docs: DataFrame, log_ids: DataFrame, snapshots: DataFrame, root_key: str) -> DataFrame:
-    """What ingesting all documents that pass lint would add, each id once."""
-    refused = lint(docs, snapshots, root_key).select("path").distinct()
-    return fresh_events(derived_events(docs, root_key).join(refused, "path", "left_anti"), log_ids)
+def _refused(rows: DataFrame, snapshots: DataFrame) -> DataFrame:
+    return _standing(rows.where(F.col("regla").isNotNull()), snapshots).select("path").distinct()
+
+
+def new_events(rows: DataFrame, log_ids: DataFrame, snapshots: DataFrame) -> DataFrame:
+    """What ingesting the documents of :func:`examined` that pass lint would add, each id once."""
+    return fresh_events(rows.join(_refused(rows, snapshots), "path", "left_anti"), log_ids)
 
 
 def ingest(docs: DataFrame, store: EventStore, root_key: str) -> dict[str, int]:
-    """All documents into the log, by lint, anti-join and one append of all tasks: {documentos, rechazados, appended}.
+    """All documents into the log, by one parse, anti-joins and one append of all tasks: {documentos, rechazados, appended}.
 
     A document that does not pass adds nothing; doing it again adds nothing.
     """
     spark = docs.sparkSession
-    counts = docs.select("path").join(lint(docs, store.snapshots(spark), root_key).select("path").distinct().withColumn("_no", F.lit(True)), "path", "left").agg(F.count(F.lit(1)).alias("n"), F.count("_no").alias("no")).first()
-    fresh, at = materialize(new_events(docs, store.log_ids(spark), store.snapshots(spark), root_key), "fresh")
-    appended = store.append_frame(fresh, "path", "pos")
+    rows, at = materialize(examined(docs, root_key), "examined")
+    snapshots = store.snapshots(spark)
+    refused = _refused(rows, snapshots).count()
+    appended = store.append_frame(new_events(rows, store.log_ids(spark), snapshots), "path", "pos")
     release(spark, at)
-    return {"documentos": counts["n"], "rechazados": counts["no"], "appended": appended}
+    return {"documentos": docs.count(), "rechazados": refused, "appended": appended}
 
 
 def ingest_file(spark: SparkSession, path: str, store: EventStore, root_key: str, db: str | None = None) -> dict:

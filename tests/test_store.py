@@ -270,7 +270,7 @@ def test_folder_of_documents(spark, store, tmp_path):
     (folder / "f.txt").write_text("no document")
     (folder / "g.yaml").write_text(f"{ROOT}: {{consultas: [x]}}")
     docs = grains.read_grains(spark, str(folder))
-    new = grains.new_events(docs, store.log_ids(spark), store.snapshots(spark), ROOT).count()
+    new = grains.new_events(grains.examined(docs, ROOT), store.log_ids(spark), store.snapshots(spark)).count()
     grains.ingest_file(spark, path, store, ROOT)
     rows = {r.path[-6:]: r for r in grains.states(docs, store.log_ids(spark), ROOT).collect()}
     assert [rows[k].estado for k in ("a.yaml", "/b.yml", "c.yaml", "d.yaml", "e.yaml", "g.yaml")] == ["CONSUMIDO", "PARCIAL", "ERROR", "VACIO", "PARCIAL", "ERROR"]
