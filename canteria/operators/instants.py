@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.instants import PARSER_VERSION, to_utc_us
 from ..functions.text import py_strip
-from ..session import kept_path, materialize_with, path_exists, release
+from ..session import file_system, kept_path, materialize_with, path_exists, release
 from .skew import salted_lookup
 
 KEYS = ["raw", "zona", "orden"]
@@ -76,6 +76,14 @@ class InstantDictionary:
                 release(self.spark, path)
         return counts, seen["rows"] or 0
 
+    def compact(self) -> None:
+        """Rewrite the batches there are as one, while no result that reads them is still open."""
+        fs, folder = file_system(self.spark, self.path)
+        batches = [b.getPath().toString() for b in fs.listStatus(folder)] if fs.exists(folder) else []
+        if len(batches) > 1:
+            materialize_with(self.read(), "", f"{self.path}/lote={{}}")
+            release(self.spark, *batches)
+
     def attach(self, rows: DataFrame, counts: DataFrame, total: int) -> DataFrame:
         """``rows`` with an instant, and their ``utc_us``; rows without one are left out.
 

@@ -79,7 +79,7 @@ class KeptState:
         if not found:
             return None
         number = max(int(f.rsplit("/", 1)[-1]) for f in found)
-        return number, json.loads(read_text(self.spark, f"{self.path}/manifest/{number:012d}"))
+        return number, json.loads(read_text(self.spark, self._at(number)))
 
     def update(self, tables: dict[str, str], deltas: Callable[[Callable[[str], DataFrame | None]], list[DataFrame]]) -> DataFrame:
         """The state of ``tables`` (name to path) as a stored table.
@@ -105,10 +105,14 @@ class KeptState:
         parts = [self.spark.createDataFrame([], STATE_SCHEMA), *deltas(added)] + ([self._state(old["state"])] if old else [])
         _, table, seen = materialize_with(merge_state(*parts), "", f"{self.path}/state/{{}}", rows=F.sum("referencias"))
         self.rows = seen["rows"] or 0
-        if write_text(self.spark, f"{self.path}/manifest/{number + 1:012d}", json.dumps({"state": table, "files": now, "rows": self.rows})) and last:
-            release(self.spark, *(f"{self.path}/manifest/{k:012d}" for k in range(max(1, number - 1), number)))
+        if write_text(self.spark, self._at(number + 1), json.dumps({"state": table, "files": now, "rows": self.rows})) and path_exists(self.spark, self._at(number - 1)):
+            # The state before this one may still be read; the one before that is no longer needed.
+            release(self.spark, json.loads(read_text(self.spark, self._at(number - 1)))["state"], self._at(number - 1))
         return self._state(table)
 
+    def _at(self, number: int) -> str:
+        return f"{self.path}/manifest/{number:012d}"
+
     def _state(self, table: str) -> DataFrame:
         return self.spark.read.schema(STATE_SCHEMA).parquet(table)
 

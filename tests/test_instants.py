@@ -113,6 +113,9 @@ def test_value_added_by_two_writers_counts_once(spark):
     batch = spark.read.parquet(kept.path).select(*instants.KEYS, "utc_us")
     batch.write.parquet(f"{kept.path}/lote=other")
     assert kept.read().count() == batch.distinct().count() and kept.attach(rows, counts, total).count() == 1
+    before = sorted(map(tuple, kept.read().collect()))
+    kept.compact()
+    assert sorted(map(tuple, kept.read().collect())) == before == sorted(map(tuple, spark.read.parquet(kept.path).select(*instants.KEYS, "utc_us").collect()))
 
 
 @pytest.mark.parametrize("least", [10, 50_000])

@@ -97,6 +97,7 @@ def test_kept_state_reads_only_new_files(spark, tmp_path):
     _folder(spark, at, {"t": (t, [(0, "m"), (0, "k")])})
     state = R.KeptState(spark, kept)
     assert _update(spark, at, state) == {(3, "baja")} and state.read_files == 5
+    assert len(list((tmp_path / "kept" / "state").iterdir())) == len(list_files(spark, f"{kept}/manifest")) == 2
 
 
 def test_a_manifest_is_never_overwritten(spark, tmp_path):
