@@ -211,13 +211,7 @@ class Features:
         at_end = (nxt > end) | (c >= end)
         nxt = np.minimum(nxt, n - 1)
         # Back over closing marks (and the space French puts before them) to what they close.
-        j = c.copy()
-        live = np.flatnonzero(_CLOSING[kind[j]] & (j > begin))
-        while len(live):
-            j[live] -= 1
-            spaced = live[blank[j[live]] & (j[live] > begin[live])]
-            j[spaced] -= 1
-            live = live[_CLOSING[kind[j[live]]] & (j[live] > begin[live])]
+        j = self._closed(blank)[c]
         term = np.select(
             [kind[j] == DOT, kind[j] == MARK, kind[j] == HAN_DOT, kind[j] == HAN_MARK, kind[j] == DANDA, kind[j] == ELLIPSIS, kind[j] == BARE],
             [T_DOT, T_MARK, T_HAN, T_HAN_MARK, T_DANDA, T_ELLIPSIS, T_BARE], NO_TERM)
@@ -320,18 +314,27 @@ class Features:
         shape[k] = (np.minimum(size, 5) * 2 + lacks) * 2 + (self.kind[head] == UPPER)
         return out, shape
 
+    def _closed(self, blank: np.ndarray) -> np.ndarray:
+        """For every character the place of what it closes, by way of any number of closing marks; itself if it is none."""
+        to = np.arange(len(self.kind))
+        marks = np.flatnonzero(_CLOSING[self.kind])
+        begin = self.first[self.block[marks]]
+        marks, begin = marks[marks > begin], begin[marks > begin]
+        before = marks - 1
+        to[marks] = before - (blank[before] & (before > begin))
+        while len(marks):  # pointer doubling
+            on = to[to[marks]]
+            if (on == to[marks]).all():
+                break
+            to[marks] = on
+        return to
+
     def _file_name(self, at: np.ndarray) -> np.ndarray:
         """Does a name with an extension begin here, such as a sentence may begin with in lower case?"""
-        n, out = len(self.code), np.zeros(len(at), bool)
-        live, p, dot = np.arange(len(at)), at.copy(), np.zeros(len(at), bool)
-        while len(live):
-            q = np.minimum(p, n - 1)
-            word = _NAME[self.kind[q]] | np.isin(self.code[q], [ord("_"), ord("-")])
-            is_dot = (self.code[q] == ord(".")) & (p > at[live]) & _NAME[self.kind[np.minimum(q + 1, n - 1)]] & ~dot
-            out[live[~word & ~is_dot & dot]] = True
-            on = (word | is_dot) & (p < n)
-            dot, p, live = (dot | is_dot)[on], p[on] + 1, live[on]
-        return out
+        n = len(self.code)
+        word = _NAME[self.kind] | (self.code == ord("_")) | (self.code == ord("-"))
+        stop = np.minimum.accumulate(np.where(word, n - 1, np.arange(n))[::-1])[::-1][at]
+        return (stop > at) & (self.code[stop] == ord(".")) & _NAME[self.kind[np.minimum(stop + 1, n - 1)]]
 
 
 _CLAUSE_BITS, _CLAUSE_FEATURES = 12, 5
@@ -506,8 +509,9 @@ def split_blocks(text: str) -> Iterator[tuple[int, int, bool]]:
             if m[1]:
                 good = True
             else:
-                good = at_start or (last is not None and int(m[2]) == last + 1) or (last is None and not cuts and int(m[2]) == 1)
-                last = int(m[2]) if good else last
+                number = int(m[2]) if len(m[2]) < 4000 else -1  # Python reads no longer ones; nothing counts up to them
+                good = at_start or (last is not None and number == last + 1) or (last is None and not cuts and number == 1)
+                last = number if good else last
             if good:
                 cuts.append(m.start())
         edges = [a, *cuts, b]

@@ -1,4 +1,5 @@
 import random
+import time
 
 import numpy as np
 import pytest
@@ -70,6 +71,13 @@ def test_items_of_any_number():
     assert split("99998. one\n99999. two\n100000. three") == ["99998. one", "99999. two", "100000. three"]
 
 
+@pytest.mark.parametrize("text", [")" * 100_000 + " x.", "(" * 50_000 + "a." + ")" * 50_000 + " B.", "ab1" * 300_000 + ".txt x. Y.", "“a.” " * 50_000, "7" * 9000 + ". x\n1. y", " \n" * 200_000 + "x", "x" + " " * 500_000 + "\ny"])
+def test_strange_texts_take_no_long_time(text):
+    begun = time.perf_counter()
+    assert split(text)
+    assert time.perf_counter() - begun < 20
+
+
 def test_thai_space_ends():
     for parts in (["เปิดประตูแล้ว", "“ไม่มีใคร”", "กลับบ้าน"], ["มีคนมา12", "เขาอ่านnotes.txt", "ส่งถึงTom", "รอก่อน"]):
         assert split(" ".join(parts)) == parts
