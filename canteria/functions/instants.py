@@ -100,14 +100,20 @@ def _civil(kind: str, g: tuple, orden: str | None) -> date | None:
 
 def _offset_seconds(rest: str, wall: datetime, zona: str | None) -> int | None:
     """Offset from UTC that what stands after the time gives to a wall time."""
-    rest = re.sub(r"\s*\([^)]*\)$", "", rest)
+    if rest.endswith(")"):  # a comment; it names the zone if nothing else does
+        opened = rest.find("(", rest.rfind(")", 0, -1) + 1)
+        if opened >= 0:
+            rest, comment = rest[:opened].rstrip(), rest[opened + 1 : -1].strip()
+            named = _offset_seconds(comment, wall, zona) if not rest and comment and "(" not in comment else None
+            if named is not None:
+                return named
     if rest == "":
         return _zone_offset(wall, zona)
     if rest in ("z", "utc", "gmt", "zulu"):
         return 0
-    name = re.fullmatch(r"(.*?)\s*\[([^\]]+)\]", rest)
-    if name:
-        rest, bracket = name.groups()
+    before, opened, bracket = rest.partition("[")
+    if opened and bracket.find("]") == len(bracket) - 1 > 0:  # a zone in brackets
+        rest, bracket = before.rstrip(), bracket[:-1]
         if not rest:
             return _zone_offset(wall, bracket)
         if rest == "z":

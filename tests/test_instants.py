@@ -1,3 +1,4 @@
+import time
 from datetime import datetime, timezone
 
 import pytest
@@ -63,6 +64,8 @@ def us(*parts, micro=0):
         ("2023-03-26T02:30:00", MADRID, "dmy", us(2023, 3, 26, 1, 30)),  # skipped: the offset before
         ("2024-03-05 10:00Z (UTC)", MADRID, "dmy", us(2024, 3, 5, 10)),
         ("2024-03-05 10:00 UTC (hora de la máquina que escribió este registro, como consta en el acta de la sesión anterior)", MADRID, "dmy", us(2024, 3, 5, 10)),
+        ("2024-03-05 10:00 (UTC)", MADRID, "dmy", us(2024, 3, 5, 10)),
+        ("2024-03-05 10:00 (America/New_York)", MADRID, "dmy", us(2024, 3, 5, 15)),
         ("2024-03-05 10:00 (hora local)", MADRID, "dmy", us(2024, 3, 5, 9)),
         ("Tue 5 Mar 2024 10:00 UTC", None, None, us(2024, 3, 5, 10)),
         ("mar 5 mar 2024 10:00 UTC", None, None, us(2024, 3, 5, 10)),
@@ -71,6 +74,8 @@ def us(*parts, micro=0):
         ("Tue Mar 05 2024 10:00:00 GMT+0100 (Central European Standard Time)", None, None, us(2024, 3, 5, 9)),
         ("Tue Mar  5 10:00:00 2024", MADRID, "dmy", us(2024, 3, 5, 9)),
         ("Tue Mar  5 10:00:00 UTC 2024", None, None, us(2024, 3, 5, 10)),
+        *[(f"2024-03-05 10:00{x}", MADRID, "dmy", None) for x in ("+01:00]", "+01:00[]", "+01:00 [a] [b]", "+01:00 (a) b", "[UTC", "(", ")", "+19:00", "+01:60")],
+        ("2024-03-05 10:00[UTC] (nota)", MADRID, "dmy", us(2024, 3, 5, 10)),
         *[(x, MADRID, "dmy", None) for x in (None, "", "  ", "n/d", "pendiente", "ayer 14:03", "14:03:11", "0000-00-00 00:00:00", "2025-02-30T10:00:00", "2024-13-01T08:15:00", "2025-06-03T25:61:00", "MATERIALIZAR", "x" * 100_000)],
         ("2023-01-31T15:42:55", None, None, None),
     ],
@@ -79,6 +84,15 @@ def test_notations(raw, zona, orden, want):
     assert to_utc_us(raw, zona, orden) == want
 
 
+@pytest.mark.parametrize("tail", ["(" * 200_000, "(" * 100_000 + ")" * 100_000, " " * 200_000 + "x", "[" * 200_000, " " * 200_000 + "]", "de " * 100_000, "9" * 200_000, "." * 200_000])
+def test_long_junk_is_read_in_no_time(tail):
+    begun = time.perf_counter()
+    assert to_utc_us(f"2024-03-05 10:00{tail}", MADRID, "dmy") is None
+    to_utc_us(f"5 {tail} de marzo de 2024", MADRID, "dmy")
+    to_utc_us(tail, MADRID, "dmy")
+    assert time.perf_counter() - begun < 5
+
+
 def _tables(spark, rows):
     version = spark.createDataFrame(rows, "seq long, capture_ts string, equipo string, raw string, n int")
     equipo = spark.createDataFrame([("m", MADRID, "dmy"), ("m", MADRID, "dmy"), (None, "UTC", "ymd")], "equipo string, zona string, orden_fecha string")
