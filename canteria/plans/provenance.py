@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import canonical, text
 from ..operators import claims
 from ..operators.skew import salted_lookup
-from ..session import materialize, new_path, read, shuffle_partitions
+from ..session import materialize, materialize_with, new_path, read, shuffle_partitions
 from ..sources import emission, fetching, grains
 from ..sources.store import LOG_NAME, read_log
 from .found import REFERENCES
@@ -93,9 +93,10 @@ def consumption_gate(spark: SparkSession, d: str) -> DataFrame:
 def divergence(spark: SparkSession, d: str) -> DataFrame:
     """Words each later reading of the same inputs shares with the first one."""
     rows = read(spark, d, "inscripcion", "seq", "huella", "conclusion").where(F.col("huella").isNotNull())
-    first = rows.groupBy("huella").agg(F.min_by("conclusion", "seq").alias("base"), F.min("seq").alias("primera"))
-    first, _ = materialize(first, "first")
-    pairs = salted_lookup(rows, first, ["huella"], rows.count()).where((F.col("seq") > F.col("primera")) & F.col("base").isNotNull() & F.col("conclusion").isNotNull())
+    first = rows.groupBy("huella").agg(F.min_by("conclusion", "seq").alias("base"), F.min("seq").alias("primera"), F.count(F.lit(1)).alias("_n"))
+    first, _, seen = materialize_with(first, "first", rows=F.sum("_n"))
+    pairs = salted_lookup(rows, first.drop("_n"), ["huella"], seen["rows"] or 0, counts=first.select("huella", "_n"))
+    pairs = pairs.where((F.col("seq") > F.col("primera")) & F.col("base").isNotNull() & F.col("conclusion").isNotNull())
     common, both = claims.divergence_counts(F.col("base"), F.col("conclusion"))
     return pairs.select("seq", F.left("huella", F.lit(12)).alias("huella"), common.cast("long").alias("comunes"), both.cast("long").alias("todas"))
 
@@ -266,6 +267,41 @@ def grain_ingest(spark: SparkSession, d: str) -> DataFrame:
     return grains.fresh_events(*_grains_and_log(spark, d)).select("id", "ev", F.col("path").cast("long").alias("seq"), "pos")
 
 
+def _claim_document(text: str) -> dict:
+    """One claim with what it names, as a document: its inference, its reference under its query, and the need."""
+    r = json.loads(text)
+
+    def tree(value: str | None) -> object:
+        try:
+            return json.loads(value) if value is not None else None
+        except ValueError:
+            return value
+
+    inference = {"local_id": r.get("insc"), "premisa": r.get("premisa"), "busqueda": tree(r.get("busqueda")), "resultados_crudos": tree(r.get("resultados_crudos"))}
+    reference = {"local_id": r.get("ref"), "content_hash": r.get("content_hash"), "capture_ts": r.get("capture_ts")}
+    return {
+        GRAIN_ROOT: {
+            "meta": {"schema_version": "aec-1"}, "necesidad": {"pregunta": r.get("pregunta"), "gatillo": r.get("gatillo")},
+            "inscripciones": [inference] if r.get("insc") else [], "consultas": [{"referencias": [reference]}] if r.get("ref") else [],
+            "afirmaciones": [{"txt": r.get("txt"), "survived_from": r.get("ref_id"), "inferida_por": r.get("insc_id")}],
+        }
+    }
+
+
+def claim_lint(spark: SparkSession, d: str) -> DataFrame:
+    """What stands against each stored claim with all it rests on, taken as a document of its own, counted by rule."""
+    named = {"insc_id": F.nullif("insc_id", F.lit("")), "ref_id": F.nullif("ref_id", F.lit(""))}
+    a = _first(spark, d, "afirmacion", "txt", "insc_id", "ref_id").where(F.col("id").isNotNull()).select("id", "txt", *[c.alias(k) for k, c in named.items()])
+    i = _first(spark, d, "inscripcion", "premisa", "busqueda", "resultados_crudos").drop("seq").withColumnRenamed("id", "insc")
+    v = _first(spark, d, "version", "content_hash", "capture_ts", "q_id").drop("seq").withColumnRenamed("id", "ref")
+    q = _first(spark, d, "consulta", "nec_id").select(F.col("id").alias("q_id"), "nec_id")
+    n = _first(spark, d, "necesidad", "pregunta", "gatillo").select(F.col("id").alias("nec_id"), "pregunta", "gatillo")
+    origin = v.join(q, "q_id", "left").join(n, "nec_id", "left").drop("q_id", "nec_id")
+    rows = a.join(i, F.col("insc_id") == F.col("insc"), "left").join(origin, F.col("ref_id") == F.col("ref"), "left")
+    docs = rows.select(F.col("id").alias("path"), F.to_json(F.struct(*[c for c in rows.columns if c != "id"])).alias("texto"))
+    return grains.lint(docs, _snapshots(spark, d), GRAIN_ROOT, _claim_document).groupBy(F.col("path").alias("id"), "regla").agg(F.count(F.lit(1)).alias("n"))
+
+
 def lint_inferences(spark: SparkSession, d: str) -> DataFrame:
     """Premises that are blank or null, of every stored row."""
     return read(spark, d, "inscripcion", "seq", "premisa").select("seq", text.is_blank(F.col("premisa")).alias("sin_premisa"))
@@ -349,5 +385,5 @@ QUERIES = (
     current_version, first_write_wins, first_capture, orphans, unsafe_claims, trace_up, pinned_versions, load_bearing, missing_events, consumption_state,
     consumption_gate, divergence, divergence_rounded, preflight, preflight_counts, snapshot_dedup, export_lines, export_upsert, lint_inferences, lint_triplets, lint_needs,
     lint_versions, lint_times, lint_schema, integrity, canonical_json, canonical_urls, det_ids, content_hashes, assert_bag, log_counts, dump_tables,
-    dump_projection, log_scan, rebuild_dump, grain_events, grain_lint, grain_states, grain_ingest, materialize_outcomes, materialize_counts, reinferred, export_log_lines, export_log_upsert, missing_log_events,
+    dump_projection, log_scan, rebuild_dump, grain_events, grain_lint, grain_states, grain_ingest, claim_lint, materialize_outcomes, materialize_counts, reinferred, export_log_lines, export_log_upsert, missing_log_events,
 )

@@ -90,7 +90,10 @@ def _iso(x: str) -> str:
       or (regexp_matches({t}, '{by_week}') and try_cast({group(by_week, 2)} || {group(by_week, 3)} as int) between 1 and {weeks}), false)"""
 
 
-_EMPTY = "('[]', '{}', '\"\"', 'null', 'false', '0')"
+def _hollow(x: str) -> str:
+    """Is a JSON value one that Python takes for false?"""
+    return f"""case json_type({x}) when 'ARRAY' then json_array_length({x}) = 0 when 'OBJECT' then len(json_keys({x})) = 0 when 'NULL' then true when 'VARCHAR' then json_extract_string({x}, '$') = ''
+      when 'BOOLEAN' then cast({x} as varchar) = 'false' else try_cast(cast({x} as varchar) as double) = 0 end"""
 
 
 def _elements(x: str) -> str:
@@ -126,8 +129,8 @@ def _grains(lint: bool = False) -> str:
       qq as (select seq, unnest(json_extract(x, '$[*]')) q, generate_subscripts(json_extract(x, '$[*]'), 1) i from j where json_type(x) = 'ARRAY'),
       rl as (select seq, i, q, q -> 'referencias' l from qq where json_type(q) = 'OBJECT'),
       rr as (select seq, i, unnest(json_extract(l, '$[*]')) r, generate_subscripts(json_extract(l, '$[*]'), 1) k from rl where json_type(l) = 'ARRAY'),
-      malas as (select seq from j where x is null or (json_type(x) <> 'ARRAY' and cast(x as varchar) not in {_EMPTY}) union select seq from qq where json_type(q) <> 'OBJECT'
-        union select seq from rl where l is not null and json_type(l) <> 'ARRAY' and cast(l as varchar) not in {_EMPTY} union select seq from rr where json_type(r) <> 'OBJECT' or ({named})),
+      malas as (select seq from j where x is null or (json_type(x) <> 'ARRAY' and not {_hollow("x")}) union select seq from qq where json_type(q) <> 'OBJECT'
+        union select seq from rl where l is not null and json_type(l) <> 'ARRAY' and not {_hollow("l")} union select seq from rr where json_type(r) <> 'OBJECT' or ({named})),
       k as (select *, seq in (select seq from malas) mala from g),
       q as (select seq, i, q ->> 'formulacion' f from rl), r as (select seq, i, k, r ->> 'url' url, r ->> 'referente_id' referente, r ->> 'content_hash' h, r ->> 'capture_ts' c from rr)"""
 
@@ -151,6 +154,24 @@ def _grain_lint() -> str:
       select seq, regla, count(*) n from f group by all"""
 
 
+def _claim_lint() -> str:
+    def lacks(x: str) -> str:
+        return f"({x} is null or {x} = '' or coalesce({_hollow(f"try_cast({x} as json)")}, false))"
+
+    return f"""with c as (select a.id, nullif(a.ref_id, '') ref_id, nullif(a.insc_id, '') insc_id, i.id insc, premisa, busqueda, resultados_crudos, v.id ref, v.content_hash, v.capture_ts, n.pregunta, n.gatillo
+        from {_first("afirmacion")} a left join {_first("inscripcion")} i on nullif(a.insc_id, '') = i.id left join {_first("version")} v on nullif(a.ref_id, '') = v.id
+        left join {_first("consulta")} q on v.q_id = q.id left join {_first("necesidad")} n on q.nec_id = n.id where a.id is not null),
+      f as (select id, 'C2' regla from c where insc is not null and ({_blank("premisa")} or {lacks("busqueda")} or {lacks("resultados_crudos")})
+        union all select id, 'C3' from c where ref is not null and {_norm("content_hash")} not in (select content_hash from {_SNAPSHOTS})
+        union all select id, 'C5' from c where ref is not null and not {_iso("capture_ts")}
+        union all select id, 'C6' from c where not coalesce(starts_with(gatillo, 'explicito:') or starts_with(gatillo, 'implicito-de:'), false)
+        union all select id, 'C6' from c where {_blank("pregunta")}
+        union all select id, 'C4' from c where ref_id is null or insc_id is null
+        union all select id, 'C4' from c where ref_id is not null and insc_id is not null and ref is null
+        union all select id, 'C4' from c where ref_id is not null and insc_id is not null and insc is null)
+      select id, regla, count(*) n from f group by all"""
+
+
 _SNAPSHOTS = "(select distinct content_hash from version where equipo in ('nube-a', 'mx-nodo-1') and content_hash is not null)"
 _STATE = "(select q_id, count(*) total, count(u.id) presentes from version v left join (select distinct ref_id id from afirmacion where ref_id is not null) u using (id) group by q_id)"
 _STATES = f"(select q_id, total, presentes, case when presentes = 0 then 'NO-CONSUMIDO' when presentes = total then 'CONSUMIDO' else 'PARCIAL' end estado from {_STATE})"
@@ -223,6 +244,7 @@ ORACLES = {
     "rebuild_dump": " union all ".join(_dumped(t, {"referente": _CAPTURES, "referente_assert": t}.get(t) or _first(t), ("busqueda", "resultados_crudos")) for t in COLUMNS),
     "grain_events": _grain_events(),
     "grain_lint": _grain_lint(),
+    "claim_lint": _claim_lint(),
     "grain_states": f"""with e as ({_grain_events()}), d as (select seq, seq in (select seq from e) any_event, coalesce(session_id, '') session_id, ts from grano),
         there as (select distinct id from e join d using (seq) where ts < '2024'),
         n as (select seq, count(*) total, count(there.id) presentes from e left join there using (id) group by seq)
