@@ -12,11 +12,11 @@ from pyspark.sql import functions as F
 from ..functions import canonical, text
 from ..operators import claims
 from ..operators.skew import salted_lookup
-from ..session import materialize, materialize_with, new_path, read, shuffle_partitions
+from ..session import materialize, materialize_with, new_path, read, release, shuffle_partitions
 from ..sources import emission, fetching, grains
-from ..sources.store import LOG_NAME, read_log
+from ..sources.store import LOG_NAME, EventStore, read_log
 from .found import REFERENCES
-from .projection import COLUMNS, KINDS, rebuild
+from .projection import COLUMNS, KINDS, parse_log, rebuild
 
 
 def _first(spark: SparkSession, d: str, table: str, *columns: str) -> DataFrame:
@@ -123,6 +123,33 @@ def preflight_counts(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def _new_store(spark: SparkSession) -> EventStore:
+    """A store of this application in the folder all executors share, which must be a mounted one."""
+    root = new_path(spark, "store").removeprefix("file:")
+    if "://" in root:
+        raise RuntimeError("a store needs a mounted folder")
+    return EventStore(root, clock=lambda: "2026-01-01T00:00:00")
+
+
+def snapshot_store(spark: SparkSession, d: str) -> DataFrame:
+    """The texts of all documents put into a store that has those in Spanish already, and what it then holds."""
+    docs, store = read(spark, d, "documents", "text", "lang").where(F.col("text").isNotNull()), _new_store(spark)
+    content = F.col("text").cast("binary").alias("content")
+    materialize(store.put_snapshots(docs.where(F.col("lang") == "es").select(content)), "put")
+    put, _ = materialize(store.put_snapshots(docs.select(content)), "put")
+    held = store.snapshot_contents(spark).select("content_hash", F.length("content").cast("long").alias("bytes"))
+    return held.join(put, "content_hash")
+
+
+def store_ingest(spark: SparkSession, d: str) -> DataFrame:
+    """The events ingesting all grains adds to a new store, appended by all tasks and read back from its log."""
+    store = _new_store(spark)
+    rows, at = materialize(grains.examined(_grains(spark, d), GRAIN_ROOT, json.loads), "examined")
+    store.append_frame(grains.fresh_events(rows, store.log_ids(spark)), "path", "pos")
+    release(spark, at)
+    return parse_log(store.log(spark)).select("id", "ev", "ts", "nec_id", "formulacion", "referente_id", "content_hash", "q_id")
+
+
 class _Hashes:
     """A stand-in for the snapshots of a store: names bytes and keeps nothing."""
 
@@ -383,7 +410,7 @@ def dump_projection(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = (
     current_version, first_write_wins, first_capture, orphans, unsafe_claims, trace_up, pinned_versions, load_bearing, missing_events, consumption_state,
-    consumption_gate, divergence, divergence_rounded, preflight, preflight_counts, snapshot_dedup, export_lines, export_upsert, lint_inferences, lint_triplets, lint_needs,
+    consumption_gate, divergence, divergence_rounded, preflight, preflight_counts, snapshot_dedup, snapshot_store, store_ingest, export_lines, export_upsert, lint_inferences, lint_triplets, lint_needs,
     lint_versions, lint_times, lint_schema, integrity, canonical_json, canonical_urls, det_ids, content_hashes, assert_bag, log_counts, dump_tables,
     dump_projection, log_scan, rebuild_dump, grain_events, grain_lint, grain_states, grain_ingest, claim_lint, materialize_outcomes, materialize_counts, reinferred, export_log_lines, export_log_upsert, missing_log_events,
 )

@@ -135,14 +135,17 @@ def _grains(lint: bool = False) -> str:
       q as (select seq, i, q ->> 'formulacion' f from rl), r as (select seq, i, k, r ->> 'url' url, r ->> 'referente_id' referente, r ->> 'content_hash' h, r ->> 'capture_ts' c from rr)"""
 
 
-def _grain_events() -> str:
+def _grain_events(fields: bool = False) -> str:
     nec = "sha256(concat_ws(chr(31), sid, 'nec', '', ''))"
+    query = f"sha256(concat_ws(chr(31), sid, 'consulta', {nec}, coalesce(f, '')))"
+    referent = "coalesce(nullif(referente, ''), u.url, 'https:/')"
     urls = canonical("(select seq, i, k, url from r)", "url", "seq, i, k")
     return f"""with {_grains()}, u as ({urls}),
-      e as (select seq, 0 i, 0 k, 'necesidad' ev, {nec} id from k where not mala
-        union all select seq, i, 0, 'consulta', sha256(concat_ws(chr(31), sid, 'consulta', {nec}, coalesce(f, ''))) from q join k using (seq) where not mala
-        union all select seq, i, r.k, 'referencia', sha256(concat_ws(chr(31), 'ref', coalesce(nullif(referente, ''), u.url, 'https:/'), {_norm("h")}, coalesce(c, ''))) from r join k using (seq) left join u using (seq, i, k) where not mala)
-      select seq, cast(row_number() over (partition by seq order by i, k) - 1 as int) pos, id, ev from e"""
+      e as (select seq, 0 i, 0 k, 'necesidad' ev, {nec} id, null nec_id, null formulacion, null referente_id, null content_hash, null q_id from k where not mala
+        union all select seq, i, 0, 'consulta', {query}, {nec}, f, null, null, null from q join k using (seq) where not mala
+        union all select seq, i, r.k, 'referencia', sha256(concat_ws(chr(31), 'ref', {referent}, {_norm("h")}, coalesce(c, ''))), null, null, {referent}, {_norm("h")}, {query}
+          from r join k using (seq) join q using (seq, i) left join u using (seq, i, k) where not mala)
+      select seq, cast(row_number() over (partition by seq order by i, k) - 1 as int) pos, id, ev{", nec_id, formulacion, referente_id, content_hash, q_id" if fields else ""} from e"""
 
 
 def _grain_lint() -> str:
@@ -255,6 +258,8 @@ ORACLES = {
     "materialize_counts": f"select estado, load_bearing, count(*) n, sum(bytes)::bigint bytes from {_OUTCOMES} group by all",
     "reinferred": f"""select seq, huella, premisa conclusion, 'model-b@2026-01-01T00:00:00' firma, len(list_intersect({_words("conclusion")}, {_words("premisa")})) comunes,
       len(list_distinct(list_concat({_words("conclusion")}, {_words("premisa")}))) todas from inscripcion""",
+    "snapshot_store": "select sha256(text) content_hash, strlen(any_value(text)) bytes, not bool_or(coalesce(lang = 'es', false)) nueva from documents where text is not null group by sha256(text)",
+    "store_ingest": f"""select id, ev, '2026-01-01T00:00:00' ts, nec_id, formulacion, referente_id, content_hash, q_id from ({_grain_events(True)}) qualify row_number() over (partition by id order by seq, pos) = 1""",
     "dump_tables": """select 'equipo' tabla, cast(to_json({'equipo': equipo, 'orden_fecha': orden_fecha, 'zona': zona}) as varchar) fila from equipo
       union all select 'envase', cast(to_json({'capacidad': cast(capacidad as varchar), 'envase': envase}) as varchar) from envase
       union all select 'mezcla', cast(to_json({'max_rep': cast(max_rep as varchar), 'peso': cast(peso as varchar), 'source': source}) as varchar) from mezcla""",
