@@ -100,6 +100,10 @@ def pack_shard(tokens: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarra
     )
 
 
+def _usable(containers: list[tuple[str, int]]) -> list[tuple[str, int]]:
+    return [(name, int(c)) for name, c in containers if name is not None and c is not None and c > 0]
+
+
 def pack(lengths: DataFrame, containers: list[tuple[str, int]], shard_docs: int = SHARD_DOCS) -> DataFrame:
     """(envase, contenedor, doc_id, parte, inicio, tokens): every text in containers of every kind.
 
@@ -111,7 +115,7 @@ def pack(lengths: DataFrame, containers: list[tuple[str, int]], shard_docs: int
     capacity are left out.  ``lengths`` is read twice, so it should be a
     stored table.
     """
-    kinds = [(name, int(c)) for name, c in containers if name is not None and c is not None and c > 0]
+    kinds = _usable(containers)
     shards = max(1, math.ceil(lengths.count() / shard_docs))
 
     def run(table: pa.Table) -> pa.Table:
@@ -132,8 +136,8 @@ _NOTHING = pa.schema([("envase", pa.string()), ("contenedor", pa.int64()), ("doc
 
 
 def packing_report(packed: DataFrame, containers: list[tuple[str, int]]) -> DataFrame:
-    """(envase, contenedores, piezas, tokens, hueco): what was packed, and the tokens of space left over."""
-    capacity = F.create_map(*[x for name, c in containers for x in (F.lit(name), F.lit(int(c)))])
+    """(envase, contenedores, piezas, tokens, hueco): what was packed, and the tokens of space left over; no kind of container gives no row."""
+    capacity = F.create_map(*[x for name, c in dict(_usable(containers)).items() for x in (F.lit(name), F.lit(c))]).cast("map<string, long>")
     boxes = packed.where(F.col("contenedor").isNotNull()).groupBy("envase", "contenedor").agg(F.count(F.lit(1)).alias("n"), F.sum("tokens").alias("t"))
     total = boxes.groupBy("envase").agg(F.count(F.lit(1)).alias("contenedores"), F.sum("n").alias("piezas"), F.sum("t").alias("tokens"))
     return total.withColumn("hueco", F.col("contenedores") * capacity[F.col("envase")] - F.col("tokens"))

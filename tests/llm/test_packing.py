@@ -80,3 +80,9 @@ def test_report(spark):
     df = packing.pack(spark.createDataFrame([(1, 10), (2, 6), (3, 20), (4, 0)], "doc_id long, tokens long"), KINDS[:2])
     got = {r.envase: (r.contenedores, r.piezas, r.tokens, r.hueco) for r in packing.packing_report(df, KINDS[:2]).collect()}
     assert got == {"corto": (3, 4, 36, 12), "medio": (1, 3, 36, 28)}
+
+
+def test_no_usable_container(spark):
+    lengths = spark.createDataFrame([(1, 5)], "doc_id long, tokens long")
+    for kinds in ([], [(None, 5), ("x", None), ("y", 0)]):
+        assert packing.packing_report(packing.pack(lengths, kinds), kinds).count() == 0
