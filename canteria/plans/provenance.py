@@ -124,11 +124,9 @@ def preflight_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _new_store(spark: SparkSession) -> EventStore:
-    """A store of this application in the folder all executors share, which must be a mounted one."""
-    root = new_path(spark, "store").removeprefix("file:")
-    if "://" in root:
-        raise RuntimeError("a store needs a mounted folder")
-    return EventStore(root, clock=lambda: "2026-01-01T00:00:00")
+    """A store of this application in the folder all executors share."""
+    root = new_path(spark, "store")
+    return EventStore(root if "://" in root else root.removeprefix("file:"), clock=lambda: "2026-01-01T00:00:00")
 
 
 def snapshot_store(spark: SparkSession, d: str) -> DataFrame:

@@ -4,19 +4,19 @@ from __future__ import annotations
 
 import json
 import os
-import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 from datetime import datetime
 from hashlib import sha256
 
 import pyarrow as pa
+import pyarrow.fs as fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.canonical import ISO, canonical_line, line_form, line_sha
 from ..functions.text import content_hash, py_strip
-from ..session import file_system, path_exists
+from ..session import path_exists
 
 # The layout of a store.
 LOG_DIR, LOG_NAME, SNAPSHOT_DIR = "log", "inscripciones.jsonl", "snapshots"
@@ -29,7 +29,7 @@ def now() -> str:
 
 
 def log_path(root: str) -> str:
-    return os.path.join(os.path.abspath(root), LOG_DIR, LOG_NAME)
+    return f"{root.rstrip('/') if '://' in root else os.path.abspath(root)}/{LOG_DIR}/{LOG_NAME}"
 
 
 def _one_json(line: Column) -> Column:
@@ -83,36 +83,62 @@ def canonical_log(spark: SparkSession, path: str) -> DataFrame:
 class EventStore:
     """Append and put only: nothing here changes or deletes what is stored.
 
-    One process at a time writes a store, through its driver (:meth:`append`,
+    ``root`` is a local or mounted folder, or a URI of a file system Arrow
+    knows (``hdfs://``, ``s3://``, ``gs://``, ``file://``).  One process at a
+    time writes a store, through its driver (:meth:`append`,
     :meth:`put_snapshot`) or with many tasks (:meth:`append_frame`,
-    :meth:`put_snapshots`); ``root`` must then be on storage all share.
-    Reading for queries goes through Spark.
+    :meth:`put_snapshots`); all tasks must then reach ``root``.  Reading for
+    queries goes through Spark.
     """
 
     def __init__(self, root: str, clock: Callable[[], str] | None = None):
-        self.root = os.path.abspath(root)
+        self.root = root.rstrip("/") if "://" in root else os.path.abspath(root)
         self.clock = clock or now
-        self.log_path = log_path(root)
-        self.segments = os.path.join(os.path.dirname(self.log_path), SEGMENT_DIR)
-        self.snapshot_dir = os.path.join(self.root, SNAPSHOT_DIR)
-        for d in (os.path.dirname(self.log_path), self.snapshot_dir):
-            os.makedirs(d, exist_ok=True)
+        self.log_path = f"{self.root}/{LOG_DIR}/{LOG_NAME}"
+        self.segments = f"{self.root}/{LOG_DIR}/{SEGMENT_DIR}"
+        self.snapshot_dir = f"{self.root}/{SNAPSHOT_DIR}"
+        self.files, base = fs.FileSystem.from_uri(self.root) if "://" in root else (fs.LocalFileSystem(), self.root)
+        self._cut = len(self.root) - len(base)  # what a path of Spark has before one of Arrow
+        for d in (self.log_path.rpartition("/")[0], self.snapshot_dir):
+            self.files.create_dir(d[self._cut :], recursive=True)
+
+    def _names(self, folder: str) -> list[str]:
+        found = self.files.get_file_info(fs.FileSelector(folder[self._cut :], allow_not_found=True))
+        return sorted(f.base_name for f in found)
+
+    def _exists(self, path: str) -> bool:
+        return self.files.get_file_info(path[self._cut :]).type != fs.FileType.NotFound
+
+    def _write(self, path: str, data: bytes) -> None:
+        """A file that appears whole or not at all."""
+        folder, _, name = path[self._cut :].rpartition("/")
+        hidden = f"{folder}/.{uuid.uuid4().hex}"
+        with self.files.open_output_stream(hidden) as f:
+            f.write(data)
+        self.files.move(hidden, f"{folder}/{name}")
 
     def _next_segment(self) -> str:
-        numbers = [int(n) for n in os.listdir(self.segments) if n.isdigit()] if os.path.isdir(self.segments) else []
-        return os.path.join(self.segments, f"{max(numbers, default=0) + 1:012d}")
+        numbers = [int(n) for n in self._names(self.segments) if n.isdigit()]
+        return f"{self.segments}/{max(numbers, default=0) + 1:012d}"
 
     def append(self, events: Iterable[dict]) -> list[dict]:
-        """Adds events in order in one write; ``ts`` is set only where the key is missing."""
+        """Adds events in order in one write; ``ts`` is set only where the key is missing.
+
+        They go to the log file, unless there are segments, as what comes later
+        must be read later, or the file system cannot add to a file: then they
+        are a segment of their own.
+        """
         out = [e if "ts" in e else {**e, "ts": self.clock()} for e in events]
-        if out:
-            target = self.log_path
-            if os.path.isdir(self.segments):  # what comes later must be read later
-                folder = self._next_segment()
-                os.makedirs(folder)
-                target = os.path.join(folder, "part-00000.txt")
-            with open(target, "a", encoding="utf-8") as f:
-                f.write("".join(line_form(e) + "\n" for e in out))
+        data = "".join(line_form(e) + "\n" for e in out).encode()
+        if not data:
+            return out
+        if not self._names(self.segments) and isinstance(self.files, (fs.LocalFileSystem, fs.HadoopFileSystem)):
+            with self.files.open_append_stream(self.log_path[self._cut :]) as f:
+                f.write(data)
+        else:
+            folder = self._next_segment()
+            self.files.create_dir(folder[self._cut :], recursive=True)
+            self._write(f"{folder}/part-00000.txt", data)
         return out
 
     def append_event(self, event: dict) -> dict:
@@ -128,25 +154,21 @@ class EventStore:
         body = F.col("evento")
         dated = F.when(F.array_contains(F.json_object_keys(body), "ts"), body).otherwise(F.concat(F.lit("{"), ts, F.when(F.size(F.json_object_keys(body)) > 0, F.lit(", ")).otherwise(F.lit("")), F.regexp_replace(body, r"^\s*\{", "")))
         target = self._next_segment()
-        temporary = os.path.join(self.segments, f".{os.path.basename(target)}")
+        temporary = f"{self.segments}/.{target.rpartition('/')[2]}"
         rows = events.select(*order, dated.alias("evento")).repartitionByRange(*order).sortWithinPartitions(*order)
         rows.select(canonical_line(F.col("evento")).alias("value")).write.mode("overwrite").text(temporary)
         n = spark.read.text(temporary).count()
         if n:
-            os.replace(temporary, target)
+            self.files.move(temporary[self._cut :], target[self._cut :])
         else:
-            fs, p = file_system(spark, temporary)
-            fs.delete(p, True)
+            self.files.delete_dir(temporary[self._cut :])
         return n
 
     def put_snapshot(self, data: bytes) -> str:
         """Stores bytes under their hash unless they are there; appears whole or not at all."""
         name = sha256(data).hexdigest()
-        target = os.path.join(self.snapshot_dir, name)
-        if not os.path.exists(target):
-            with tempfile.NamedTemporaryFile(dir=self.snapshot_dir, prefix=".", delete=False) as f:
-                f.write(data)
-            os.replace(f.name, target)
+        if not self.has_snapshot(name):
+            self._write(f"{self.snapshot_dir}/{name}", data)
         return name
 
     def put_snapshots(self, contents: DataFrame) -> DataFrame:
@@ -165,18 +187,19 @@ class EventStore:
         return new.unionByName(marked.where(F.col("_there")).select("content_hash", F.lit(False).alias("nueva")))
 
     def has_snapshot(self, name: str) -> bool:
-        return os.path.exists(os.path.join(self.snapshot_dir, name))
+        """Is there a snapshot of this name?  The empty name is the folder itself and so there."""
+        return self._exists(f"{self.snapshot_dir}/{name}".rstrip("/"))
 
     def read_snapshot(self, name: str) -> bytes:
-        with open(os.path.join(self.snapshot_dir, name), "rb") as f:
+        with self.files.open_input_stream(f"{self.snapshot_dir}/{name}"[self._cut :]) as f:
             return f.read()
 
     def iter_events(self) -> Iterable[dict]:
         """Events one by one on the driver, for tools on small stores; queries use :meth:`log`."""
-        parts = [os.path.join(at, n) for at, _, names in os.walk(self.segments) for n in names if n.startswith("part-")]
-        for path in [p for p in (self.log_path,) if os.path.exists(p)] + sorted(parts):
-            with open(path, encoding="utf-8") as f:
-                yield from (json.loads(line) for line in f if line.strip())
+        parts = [f"{self.segments}/{k}/{n}" for k in self._names(self.segments) if k.isdigit() for n in self._names(f"{self.segments}/{k}") if n.startswith("part-")]
+        for path in [p for p in (self.log_path,) if self._exists(p)] + parts:
+            with self.files.open_input_stream(path[self._cut :]) as f:
+                yield from (json.loads(line) for line in f.read().decode().split("\n") if line.strip())
 
     def log(self, spark: SparkSession, strict: bool = True) -> DataFrame:
         return read_log(spark, self.log_path, strict)

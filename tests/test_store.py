@@ -18,9 +18,9 @@ from canteria.streaming.log_stream import ingest_stream, stream_lines
 CLOCK = "2026-01-01T00:00:00"
 
 
-@pytest.fixture()
-def store(tmp_path):
-    return EventStore(str(tmp_path / "store"), clock=lambda: CLOCK)
+@pytest.fixture(params=["", "file://"])
+def store(tmp_path, request):
+    return EventStore(f"{request.param}{tmp_path}/store", clock=lambda: CLOCK)
 
 
 def document_of(**changes):
@@ -417,9 +417,9 @@ def test_command_line(spark, store, tmp_path, capsys, monkeypatch):
     monkeypatch.setattr(cli, "_spark", lambda: spark)
     path = tmp_path / "o.yaml"
     doc = document_of()
-    page = tmp_path / "page"
-    page.write_text("x")
-    for r in doc["x_aec"]["consultas"][0]["referencias"]:
+    for r in doc["x_aec"]["consultas"][0]["referencias"]:  # pages of their own: the same one fetched in two seconds would be two versions
+        page = tmp_path / r["local_id"]
+        page.write_text("x")
         r["url"] = f"file://{page}"
     path.write_text(yaml.safe_dump(doc))
     root = ["--store", store.root]
@@ -433,7 +433,7 @@ def test_command_line(spark, store, tmp_path, capsys, monkeypatch):
     assert cli.main(["state", str(path), *root, *key]) == 0
     assert cli.main(["export", *root, "--db-url", ""]) == 2
     assert cli.main(["export", *root, "--dry-run"]) == 0
-    assert "'inserted': 5" in capsys.readouterr().out
+    assert "'inserted': 6" in capsys.readouterr().out
     assert log_path(store.root) == store.log_path
 
 
